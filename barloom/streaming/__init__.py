@@ -1,0 +1,4 @@
+"""No streaming operators: every research run is a batch over complete tables.
+
+`operators.bars.tick_bars` is a plain grouped aggregate over a tumbling window.
+"""
