@@ -1 +1,9 @@
+"""All registered queries: name -> (Spark callable, SQL for the same result)."""
 
+from importlib import import_module
+
+ENTRIES: dict = {}
+for _name in ("series",):
+    ENTRIES.update(import_module(f"barloom.catalogue.{_name}").QUERIES)
+
+ENTRY_QUERY = "information_coefficient"
