@@ -41,7 +41,7 @@ def tick_bars(
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", "_order").alias("close"),
-            F.sum("_volume").alias("volume"),
+            F.coalesce(F.sum("_volume"), F.lit(0.0)).alias("volume"),
         )
         .withColumnRenamed("_start", "ts")
     )
