@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.operators.lookup import band, cuts, last_step
-from barloom.operators.positions import KEY
+from barloom.operators.lookup import cuts, last_step, piece
+from barloom.operators.positions import KEY, fits
 from barloom.session import materialized
 
 BUY, SELL = "buy", "sell"
@@ -77,20 +77,31 @@ def depth_within(orders: DataFrame, levels: int, keys: Sequence[str] = KEY) -> D
     )
 
 
-def _queue(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _queue(orders: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Each order with `ahead` and `notional_ahead`: quantity and value of its side
     before it in priority, and `distance`, its price as a cost to the taker.
 
-    A book is cut into cells of one price and one stretch of arrival times. Only
-    cell totals are summed across a book, and only inside bands of prices.
+    Books too large for one task are cut into cells of one price and one stretch of
+    arrival times. Only cell totals are summed across a book, inside pieces of prices.
     """
     side = [*keys, "side"]
-    placed = (
-        orders.withColumn(
-            "distance", F.when(F.col("side") == BUY, -F.col("price")).otherwise(F.col("price"))
+    earlier = (Window.unboundedPreceding, -1)
+    value = F.col("quantity") * F.col("price")
+
+    def summed(column: Column | str, w: Window) -> Column:
+        return F.coalesce(F.sum(column).over(w), F.lit(0.0))
+
+    priced = orders.withColumn(
+        "distance", F.when(F.col("side") == BUY, -F.col("price")).otherwise(F.col("price"))
+    )
+    if small:
+        w = Window.partitionBy(*side).orderBy("distance", "ts", "id").rowsBetween(*earlier)
+        return priced.withColumns(
+            {"ahead": summed("quantity", w), "notional_ahead": summed(value, w)}
         )
-        .join(cuts(orders, side, "ts", "_times"), side)
-        .withColumn("_cell", band("ts", "_times"))
+    placed = (
+        priced.join(cuts(orders, side, "ts", "_times"), side, "left")
+        .withColumn("_cell", piece("ts", "_times"))
         .drop("_times")
     )
     sums = [
@@ -98,12 +109,9 @@ def _queue(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.col("quantity") * F.col("price")).alias("_v"),
     ]
     cells = placed.groupBy(*side, "distance", "_cell").agg(*sums)
-    banded = cells.join(cuts(cells, side, "distance"), side).withColumn("_band", band("distance"))
-    earlier = (Window.unboundedPreceding, -1)
-
-    def summed(column: Column | str, w: Window) -> Column:
-        return F.coalesce(F.sum(column).over(w), F.lit(0.0))
-
+    banded = cells.join(cuts(cells, side, "distance"), side, "left").withColumn(
+        "_band", piece("distance")
+    )
     across = Window.partitionBy(*side).orderBy("_band").rowsBetween(*earlier)
     bands = (
         banded.groupBy(*side, "_band")
@@ -121,7 +129,6 @@ def _queue(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
     arrival = (
         Window.partitionBy(*side, "distance", "_cell").orderBy("ts", "id").rowsBetween(*earlier)
     )
-    value = F.col("quantity") * F.col("price")
     return placed.join(starts, [*side, "distance", "_cell"]).select(
         *orders.columns,
         "distance",
@@ -134,7 +141,9 @@ def _opposite() -> Column:
     return F.when(F.col("side") == BUY, SELL).otherwise(BUY)
 
 
-def _with_reach(queue: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _with_reach(
+    queue: DataFrame, requests: DataFrame, keys: Sequence[str], small: bool
+) -> DataFrame:
     """Add `reach`: the quantity a request fills, from what it wants and what rests
     on the other side within its limit."""
     side = [*keys, "side"]
@@ -150,7 +159,7 @@ def _with_reach(queue: DataFrame, requests: DataFrame, keys: Sequence[str]) -> D
     limited = sized.withColumn("distance", cost)
     levels = steps.groupBy(*side, "distance").agg(F.max("through").alias("_within"))
     probes = limited.where(F.col("distance").isNotNull()).select(*side, "distance").distinct()
-    within = last_step(levels, probes, side, "distance", ["_within"])
+    within = last_step(levels, probes, side, "distance", ["_within"], small=small)
     capped = F.least(reach, F.coalesce("_within", F.lit(0.0)))
     return (
         limited.join(within, [*side, "distance"], "left")
@@ -159,7 +168,9 @@ def _with_reach(queue: DataFrame, requests: DataFrame, keys: Sequence[str]) -> D
     )
 
 
-def sweep(orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+def sweep(
+    orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY, limit: int | None = None
+) -> DataFrame:
     """Fills of each request against the unchanged snapshot.
 
     Requests are `instrument, request_id, side, quantity[, limit_price]`. A request
@@ -169,8 +180,9 @@ def sweep(orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY) ->
     last cell are fills, and no others are paired.
     """
     side = [*keys, "side"]
-    queue = materialized(_queue(orders, keys))
-    wanted = _with_reach(queue, requests, keys).where(F.col("reach") > 0)
+    small = fits(orders, side, limit) and fits(requests, side, limit)
+    queue = materialized(_queue(orders, keys, small))
+    wanted = _with_reach(queue, requests, keys, small).where(F.col("reach") > 0)
     wanted = materialized(wanted.select(*side, "request_id", "reach"))
     width = wanted.groupBy(*side).agg(F.avg("reach").alias("_width"))
     cells = (
@@ -201,7 +213,11 @@ def sweep(orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY) ->
 
 
 def execution_report(
-    orders: DataFrame, requests: DataFrame, latency: int = 0, keys: Sequence[str] = KEY
+    orders: DataFrame,
+    requests: DataFrame,
+    latency: int = 0,
+    keys: Sequence[str] = KEY,
+    limit: int | None = None,
 ) -> DataFrame:
     """Filled and remaining quantity, average price, slippage against the mid.
 
@@ -209,8 +225,9 @@ def execution_report(
     last order it reaches plus the part taken from that order.
     """
     side = [*keys, "side"]
-    queue = materialized(_queue(orders, keys))
-    reached = _with_reach(queue, requests, keys)
+    small = fits(orders, side, limit) and fits(requests, side, limit)
+    queue = materialized(_queue(orders, keys, small))
+    reached = _with_reach(queue, requests, keys, small)
     steps = queue.select(
         *keys,
         _opposite().alias("side"),
@@ -220,7 +237,7 @@ def execution_report(
         F.col("price").alias("_price"),
     )
     probes = reached.where(F.col("reach") > 0).select(*side, "reach").distinct()
-    last = last_step(steps, probes, side, "reach", ["_from", "_value", "_price"], strict=True)
+    last = last_step(steps, probes, side, "reach", ["_from", "_value", "_price"], True, small)
     mids = top_of_book(orders, keys).select(*keys, "mid_price")
     zero = F.lit(0.0)
     notional = F.col("_value") + (F.col("reach") - F.col("_from")) * F.col("_price")

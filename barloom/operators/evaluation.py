@@ -17,6 +17,7 @@ from barloom.operators.features import target_column
 from barloom.operators.positions import CHUNK_ROWS, KEY, with_halo, with_position
 from barloom.operators.ranks import spearman_matrix
 from barloom.operators.signals import DEFAULT_SIGNALS, Signal
+from barloom.session import materialized
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,6 +53,8 @@ def information_coefficient(
 
     Groups without any complete pair still get a row, with `n_obs` 0.
     """
+    df = df.select(*keys, *row, score, forward)
+    df = df if bounded else materialized(df)
     present = F.col(score).isNotNull() & F.col(forward).isNotNull()
     sizes = df.groupBy(*keys).agg(F.count_if(present).alias("n_obs"))
     found = spearman_matrix(df, keys, row, [score], [forward], bounded).drop("x", "y", "n_obs")

@@ -7,18 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS = 64
+PIECES = 256
+
+# Groups with more rows than this are cut into pieces.
+HOT_ROWS = 200_000
 
 
 def cuts(df: DataFrame, keys: Sequence[str], at: str, name: str = "_cuts") -> DataFrame:
-    """Approximate quantiles of `at` per key; they balance bands and nothing else."""
-    shares = [i / BANDS for i in range(1, BANDS)]
-    return df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(at, shares, 10_000)).alias(name)
+    """Approximate quantiles of `at` for the large groups only. They balance the
+    pieces; where they lie does not change any result."""
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    shares = [i / PIECES for i in range(1, PIECES)]
+    return (
+        df.join(hot.select(*keys), list(keys), "left_semi")
+        .groupBy(*keys)
+        .agg(F.array_distinct(F.percentile_approx(at, shares, 10_000)).alias(name))
     )
 
 
-def band(at: str, name: str = "_cuts") -> Column:
+def piece(at: str, name: str = "_cuts") -> Column:
+    """Number of cuts below the value; 0 for groups that are not cut."""
     found = F.size(F.filter(name, lambda c: c < F.col(at)))
     return F.when(F.col(name).isNull(), F.lit(0)).otherwise(found)
 
@@ -30,11 +38,13 @@ def last_step(
     at: str,
     payload: Sequence[str],
     strict: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """Add to each probe the payload of the last step with `at` <= (or <) its own.
 
-    Steps and probes share one sorted pass over bands of `at`; only one row per
-    band crosses bands. Probes before every step get NULLs.
+    Steps and probes share one sorted pass. If the groups are not known to be
+    `small`, the pass runs over pieces of `at`, and one row per piece is carried
+    on. Probes before every step get NULLs.
     """
     types = dict(steps.dtypes)
     extra = [c for c in probes.columns if c not in {*keys, at}]
@@ -50,22 +60,25 @@ def last_step(
     right = probes.select(
         *keys, at, F.lit(0 if strict else 1).alias("_order"), absent.alias("_step"), *extra
     )
-    both = left.unionByName(right).join(cuts(steps, keys, at), list(keys), "left")
-    both = both.withColumn("_band", band(at)).drop("_cuts")
-    earlier = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    both = left.unionByName(right)
+    is_probe = F.col("_order") == (0 if strict else 1)
+    so_far = (Window.unboundedPreceding, 0)
+
+    def unpacked(hit: Column) -> list[Column]:
+        return [*[F.col(c) for c in probes.columns], *[hit.getField(c).alias(c) for c in payload]]
+
+    if small:
+        w = Window.partitionBy(*keys).orderBy(at, "_order").rowsBetween(*so_far)
+        found = both.withColumn("_in", F.last("_step", True).over(w)).where(is_probe)
+        return found.select(*unpacked(F.col("_in")))
+    both = both.join(cuts(steps, keys, at), list(keys), "left")
+    both = both.withColumn("_piece", piece(at)).drop("_cuts")
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        both.groupBy(*keys, "_band")
+        both.groupBy(*keys, "_piece")
         .agg(F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col(at))).alias("_last"))
-        .select(*keys, "_band", F.last("_last", True).over(earlier).alias("_before"))
+        .select(*keys, "_piece", F.last("_last", True).over(earlier).alias("_before"))
     )
-    inside = (
-        Window.partitionBy(*keys, "_band")
-        .orderBy(at, "_order")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    is_probe = F.col("_order") == (0 if strict else 1)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(at, "_order").rowsBetween(*so_far)
     found = both.withColumn("_in", F.last("_step", True).over(inside)).where(is_probe)
-    hit = F.coalesce("_in", "_before")
-    return found.join(before, [*keys, "_band"]).select(
-        *probes.columns, *[hit.getField(c).alias(c) for c in payload]
-    )
+    return found.join(before, [*keys, "_piece"]).select(*unpacked(F.coalesce("_in", "_before")))

@@ -1,13 +1,13 @@
 """Exact average ranks, rank correlation and percentiles.
 
-Two ways, chosen by what is known about the group size:
+Two ways, chosen by the size of the groups:
 
 * `bounded=True`: the group is a fold slice, at most train or test bars long by
-  configuration. Plain windows over the group.
-* `bounded=False`: the group may be a whole instrument. Equal values are counted
-  first (so a value held by a third of all rows is one row), the distinct values
-  are cut at approximate quantiles, and only a running sum over the pieces spans
-  the group. The cut points affect balance, not the result.
+  configuration. Plain windows over the group. A stored whole series takes this
+  way too if its groups are measured to fit one task.
+* Otherwise equal values are counted first (so a value held by a third of all
+  rows is one row), the distinct values of large groups are cut at approximate
+  quantiles, and only a running sum over the pieces spans the group.
 """
 
 from __future__ import annotations
@@ -18,24 +18,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
+from barloom.operators.lookup import cuts, piece
+from barloom.operators.positions import fits
 from barloom.session import materialized
 
-PIECES = 128
 
-
-def _ordered_counts(values: DataFrame, keys: Sequence[str], value: str, pieces: int) -> DataFrame:
+def _ordered_counts(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values per group with `n` and `below` (rows smaller)."""
     counts = materialized(
         values.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    probabilities = [i / pieces for i in range(1, pieces)]
-    cuts = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, probabilities, 10_000)).alias("_cuts")
+    placed = (
+        counts.join(cuts(counts, keys, value), list(keys), "left")
+        .withColumn("_piece", piece(value))
+        .drop("_cuts")
     )
-    piece = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = counts.join(cuts, list(keys)).withColumn("_piece", piece).drop("_cuts")
     before = (
         Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -58,10 +57,14 @@ def exact_percentile(
     value: str,
     fractions: Sequence[float],
     names: Sequence[str],
-    pieces: int = PIECES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Linearly interpolated percentiles of unbounded groups, one row per group."""
-    ordered = _ordered_counts(df, keys, value, pieces)
+    """Linearly interpolated percentiles, one row per group of any size."""
+    df = materialized(df.select(*keys, value))
+    if fits(df, keys, limit):
+        picks = [F.percentile(value, float(f)).alias(n) for f, n in zip(fractions, names)]
+        return df.groupBy(*keys).agg(*picks)
+    ordered = _ordered_counts(df, keys, value)
     size = ordered.groupBy(*keys).agg(F.sum("n").alias("_size"))
     rows = ordered.join(size, list(keys))
 
@@ -97,25 +100,27 @@ def window_average_rank(value: str, keys: Sequence[str]) -> Column:
 
 
 def _ranked(
-    df: DataFrame, keys: Sequence[str], row: Sequence[str], columns: Sequence[str], bounded: bool
+    df: DataFrame,
+    keys: Sequence[str],
+    row: Sequence[str],
+    columns: Sequence[str],
+    bounded: bool,
+    limit: int | None = None,
 ) -> DataFrame:
-    if bounded:
-        # One window per step: each needs its own sort of the slice.
-        out = df.select(*keys, *row, *columns)
+    out = df.select(*keys, *row, *columns)
+    if not bounded:
+        out = materialized(out)
+    if bounded or fits(out, keys, limit):
+        # One window per step: each needs its own sort of the group.
         for c in columns:
             out = out.withColumn(f"_r_{c}", window_average_rank(c, keys))
         return out
-    long = materialized(df.select(*keys, *row, *columns)).select(
-        *keys,
-        *row,
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns]
-            )
-        ),
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns]
     )
+    long = out.select(*keys, *row, F.inline(cells))
     by = [*keys, "_column"]
-    ranks = _ordered_counts(long, by, "_value", PIECES).select(
+    ranks = _ordered_counts(long, by, "_value").select(
         *by, "_value", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_rank")
     )
     return (
@@ -132,6 +137,7 @@ def spearman_matrix(
     xs: Sequence[str],
     ys: Sequence[str],
     bounded: bool,
+    limit: int | None = None,
 ) -> DataFrame:
     """Rank correlation of every x with every y: `keys, x, y, rho, n_obs`.
 
@@ -139,7 +145,7 @@ def spearman_matrix(
     once rather than once per pair. A constant column gives NULL.
     """
     complete = df.dropna(subset=[*xs, *ys])
-    ranked = _ranked(complete, keys, row, [*xs, *ys], bounded)
+    ranked = _ranked(complete, keys, row, [*xs, *ys], bounded, limit)
     moments = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_obs"),
         *[F.stddev_pop(f"_r_{c}").alias(f"_sd_{c}") for c in dict.fromkeys([*xs, *ys])],

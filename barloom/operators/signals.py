@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, ratio
+from barloom.session import materialized
 
 CLIP = 3.0
 TINY = 1e-12
@@ -112,6 +113,7 @@ def score_signals(
             | {f"_s_{s.name}": F.stddev_samp(f"_raw_{s.name}").over(whole) for s in usable}
         )
     else:
+        raws = materialized(raws)
         measured = raws.join(raws.groupBy(*slice_keys).agg(*stats), list(slice_keys))
     scores = {
         s.column: standard_score(

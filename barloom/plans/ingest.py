@@ -44,7 +44,9 @@ def mapped_rows(table: DataFrame, mapping: Mapping, instrument: str | Column) ->
     key = F.lit(instrument) if isinstance(instrument, str) else instrument
     names = {k: v for k, v in mapping.columns.items() if k in {*PRICES, "volume", "bid", "ask"}}
     time = mapping.columns["timestamp"]
-    chosen, _ = choose_readings(table, [time], sorted(set(names.values())))
+    chosen = mapping.readings
+    if not chosen:
+        chosen, _ = choose_readings(table, [time], sorted(set(names.values())))
     return table.select(
         key.alias("instrument"),
         "block",

@@ -105,28 +105,58 @@ def _pick_time(shares: Sequence[float]) -> int:
     return chosen
 
 
+def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict[str, float]:
+    """Shares of readable, non-negative and whole values per reading, in one pass."""
+    wanted = []
+    for t in times:
+        wanted += [share(e).alias(f"{t}#t{i}") for i, e in enumerate(time_readings(t))]
+    for n in numbers:
+        for kind, v in (("n", number(n)), ("c", comma_number(n))):
+            whole = F.abs(v - F.round(v)) < 1e-9
+            wanted += [
+                share(v).alias(f"{n}#{kind}"),
+                share(F.when(v >= 0, v)).alias(f"{n}#{kind}+"),
+                F.avg(F.when(v.isNotNull(), whole.cast("double"))).alias(f"{n}#{kind}i"),
+            ]
+    return {k: v or 0.0 for k, v in df.agg(*wanted).first().asDict().items()}
+
+
+def time_reading(measured: dict[str, float], column: str) -> tuple[Column, float]:
+    """Chosen reading of a time column and its share."""
+    readings = time_readings(column)
+    seen = [measured[f"{column}#t{i}"] for i in range(len(readings))]
+    pick = _pick_time(seen)
+    if seen[pick] == 0:
+        raise ValueError(f"no timestamp could be read from column {column!r}")
+    return readings[pick].cast("timestamp_ntz"), seen[pick]
+
+
+def _number_kind(measured: dict[str, float], column: str) -> str:
+    plain, comma = measured[f"{column}#n"], measured[f"{column}#c"]
+    return "c" if 1 - plain > COMMA_RETRY and comma > plain else "n"
+
+
+def number_reading(measured: dict[str, float], column: str) -> tuple[Column, float]:
+    """Chosen reading of a numeric column and its share."""
+    kind = _number_kind(measured, column)
+    reading = comma_number(column) if kind == "c" else number(column)
+    return reading, measured[f"{column}#{kind}"]
+
+
+def number_traits(measured: dict[str, float], column: str) -> tuple[float, float]:
+    """Shares of non-negative values among all, and of whole ones among numbers."""
+    kind = _number_kind(measured, column)
+    return measured[f"{column}#{kind}+"], measured[f"{column}#{kind}i"]
+
+
 def choose_readings(
     df: DataFrame, times: Sequence[str], numbers: Sequence[str]
 ) -> tuple[dict[str, Column], dict[str, float]]:
     """Expression per column and its share of readable values, from one pass."""
-    wanted = []
-    for t in times:
-        wanted += [share(e).alias(f"{t}#{i}") for i, e in enumerate(time_readings(t))]
-    for n in numbers:
-        wanted += [share(number(n)).alias(f"{n}#n"), share(comma_number(n)).alias(f"{n}#c")]
-    found = df.agg(*wanted).first().asDict()
-    columns, shares = {}, {}
-    for t in times:
-        seen = [found[f"{t}#{i}"] or 0.0 for i in range(len(time_readings(t)))]
-        pick = _pick_time(seen)
-        if seen[pick] == 0:
-            raise ValueError(f"no timestamp could be read from column {t!r}")
-        columns[t], shares[t] = time_readings(t)[pick].cast("timestamp_ntz"), seen[pick]
-    for n in numbers:
-        plain, comma = found[f"{n}#n"] or 0.0, found[f"{n}#c"] or 0.0
-        retry = 1 - plain > COMMA_RETRY and comma > plain
-        columns[n], shares[n] = (comma_number(n), comma) if retry else (number(n), plain)
-    return columns, shares
+    measured = measure(df, times, numbers)
+    found = {t: time_reading(measured, t) for t in times}
+    found |= {n: number_reading(measured, n) for n in numbers}
+    return {c: f[0] for c, f in found.items()}, {c: f[1] for c, f in found.items()}
 
 
 def joined_date_time(df: DataFrame, date: str, time: str, name: str) -> DataFrame:
