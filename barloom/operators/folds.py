@@ -30,12 +30,6 @@ class FoldPlan:
         return self.train + self.embargo + self.test
 
 
-def fold_count(plan: FoldPlan, rows: Column) -> Column:
-    """Complete folds that fit into `rows` positions."""
-    fitting = F.floor((rows - plan.span) / plan.step) + 1
-    return F.when(rows >= plan.span, fitting).otherwise(F.lit(0)).cast("bigint")
-
-
 def assign_folds(
     df: DataFrame, plan: FoldPlan, tail: int = 0, roles: Sequence[str] = (TRAIN, TEST)
 ) -> DataFrame:
@@ -45,21 +39,20 @@ def assign_folds(
     no join is needed. The last `tail` rows of each series belong to no fold.
     A slice never exceeds `plan.train` or `plan.test` rows.
     """
-    usable = F.col("n_bars") - tail
-    last = fold_count(plan, usable) - 1
-
-    def holding(start: int, length: int, role: str) -> Column:
-        shifted = F.col("pos") - start
-        low = F.greatest(F.lit(0), F.ceil((shifted - length + 1) / plan.step))
-        high = F.least(F.floor(shifted / plan.step), last)
-        ids = F.when((shifted >= 0) & (low <= high), F.sequence(low, high))
-        ids = F.coalesce(ids, F.array().cast("array<bigint>"))
-        return F.transform(
-            ids, lambda k: F.struct(k.cast("int").alias("fold_id"), F.lit(role).alias("role"))
+    last = f"CASE WHEN n_bars - {tail} >= {plan.span} THEN (n_bars - {tail} - {plan.span}) DIV {plan.step} ELSE -1 END"
+
+    def holding(start: int, length: int, role: str) -> str:
+        shifted = f"(pos - {start})"
+        low = f"greatest(0, ceil(({shifted} - {length - 1}) / {plan.step}))"
+        high = f"least(floor({shifted} / {plan.step}), {last})"
+        ids = f"CASE WHEN {shifted} >= 0 AND {low} <= {high} THEN sequence({low}, {high}) ELSE array() END"
+        return (
+            f"transform({ids}, k -> named_struct('fold_id', cast(k AS int), 'role', '{role}'))"
         )
 
     slices = {TRAIN: (0, plan.train), TEST: (plan.train + plan.embargo, plan.test)}
-    return df.select("*", F.inline(F.concat(*[holding(*slices[r], r) for r in roles])))
+    placements = ", ".join(holding(*slices[r], r) for r in roles)
+    return df.selectExpr("*", f"inline(concat({placements}))")
 
 
 def detect_leakage(

@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import ratio
 from barloom.operators.lookup import cuts, piece
 from barloom.operators.positions import fits
 from barloom.session import materialized
@@ -92,11 +91,11 @@ def exact_percentile(
     )
 
 
-def window_average_rank(value: str, keys: Sequence[str]) -> Column:
+def average_rank_sql(value: str, keys: Sequence[str]) -> str:
     """Average rank inside a bounded group; one sort serves rank and tie count."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.rank().over(w) + (ties - 1) / 2.0
+    w = f"PARTITION BY {', '.join(keys)} ORDER BY {value}"
+    ties = f"count(*) OVER ({w} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+    return f"rank() OVER ({w}) + ({ties} - 1) / 2D"
 
 
 def _ranked(
@@ -113,7 +112,7 @@ def _ranked(
     if bounded or fits(out, keys, limit):
         # One window per step: each needs its own sort of the group.
         for c in columns:
-            out = out.withColumn(f"_r_{c}", window_average_rank(c, keys))
+            out = out.selectExpr("*", f"{average_rank_sql(c, keys)} AS _r_{c}")
         return out
     cells = F.array(
         *[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns]
@@ -146,20 +145,14 @@ def spearman_matrix(
     """
     complete = df.dropna(subset=[*xs, *ys])
     ranked = _ranked(complete, keys, row, [*xs, *ys], bounded, limit)
+    spread = [f"stddev_pop(_r_{c}) AS _sd_{c}" for c in dict.fromkeys([*xs, *ys])]
+    joint = [f"covar_pop(_r_{x}, _r_{y}) AS _cov_{x}_{y}" for x in xs for y in ys]
     moments = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_obs"),
-        *[F.stddev_pop(f"_r_{c}").alias(f"_sd_{c}") for c in dict.fromkeys([*xs, *ys])],
-        *[F.covar_pop(f"_r_{x}", f"_r_{y}").alias(f"_cov_{x}_{y}") for x in xs for y in ys],
+        F.count(F.lit(1)).alias("n_obs"), *map(F.expr, [*spread, *joint])
     )
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("x"),
-                F.lit(y).alias("y"),
-                ratio(f"_cov_{x}_{y}", F.col(f"_sd_{x}") * F.col(f"_sd_{y}")).alias("rho"),
-            )
-            for x in xs
-            for y in ys
-        ]
+    pairs = ", ".join(
+        f"named_struct('x', '{x}', 'y', '{y}', 'rho', try_divide(_cov_{x}_{y}, _sd_{x} * _sd_{y}))"
+        for x in xs
+        for y in ys
     )
-    return moments.select(*keys, "n_obs", F.inline(pairs))
+    return moments.selectExpr(*keys, "n_obs", f"inline(array({pairs}))")

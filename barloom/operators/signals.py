@@ -6,13 +6,12 @@ included), clipped at three deviations and divided by three.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clip, ratio
 from barloom.session import materialized
 
 CLIP = 3.0
@@ -21,9 +20,11 @@ TINY = 1e-12
 
 @dataclass(frozen=True)
 class Signal:
+    """A named score: the features it needs and its raw value as an expression."""
+
     name: str
     needs: tuple[str, ...]
-    raw: Callable[[], Column]
+    raw: str
     sign: int = 1
 
     @property
@@ -34,35 +35,25 @@ class Signal:
         return set(self.needs) <= set(columns)
 
 
-def _or_zero(c: str | Column) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
-
-
 def momentum(lookback: int) -> Signal:
     source = f"momentum_{lookback}"
-    return Signal(source, (source,), lambda: _or_zero(source))
+    return Signal(source, (source,), f"coalesce({source}, 0D)")
 
 
 def mean_reversion(lookback: int) -> Signal:
     source = f"zscore_{lookback}"
-    return Signal(f"mean_reversion_{lookback}", (source,), lambda: _or_zero(source), sign=-1)
+    return Signal(f"mean_reversion_{lookback}", (source,), f"coalesce({source}, 0D)", sign=-1)
 
 
 def volatility_adjusted(lookback: int) -> Signal:
     source, scale = f"momentum_{lookback}", "vol_ratio_10_50"
-
-    def raw() -> Column:
-        calm = F.abs(F.nullif(F.col(scale), F.lit(0.0))) + 1e-6
-        return _or_zero(ratio(_or_zero(source), calm))
-
+    raw = f"coalesce(coalesce({source}, 0D) / (abs(nullif({scale}, 0D)) + 1e-6D), 0D)"
     return Signal(f"vol_adjusted_momentum_{lookback}", (source, scale), raw)
 
 
 def close_location() -> Signal:
     source = "close_loc_in_range"
-    return Signal(
-        "microstructure_proxy", (source,), lambda: F.coalesce(F.col(source), F.lit(0.5)) - 0.5
-    )
+    return Signal("microstructure_proxy", (source,), f"coalesce({source}, 0.5D) - 0.5D")
 
 
 DEFAULT_SIGNALS = (
@@ -80,10 +71,10 @@ def needed_features(signals: Sequence[Signal] = DEFAULT_SIGNALS) -> list[str]:
     return sorted({f for s in signals for f in s.needs})
 
 
-def standard_score(raw: Column, mean: Column, sd: Column, n: Column, sign: int = 1) -> Column:
-    z = ratio(raw - mean, sd + TINY)
-    score = clip(F.coalesce(z, F.lit(0.0)), -CLIP, CLIP) / CLIP * sign
-    return F.when(n < 2, F.lit(0.0)).otherwise(score)
+def _score(s: Signal) -> str:
+    z = f"try_divide(_raw_{s.name} - _m_{s.name}, _s_{s.name} + {TINY!r}D)"
+    clipped = f"greatest(least(coalesce({z}, 0D), {CLIP}D), -{CLIP}D) / {CLIP}D * {s.sign}"
+    return f"CASE WHEN _n < 2 THEN 0D ELSE {clipped} END AS {s.column}"
 
 
 def score_signals(
@@ -99,47 +90,32 @@ def score_signals(
     joined back (broadcast only when measured to be small).
     """
     usable = [s for s in signals if s.available(df.columns)]
-    raws = df.withColumns({f"_raw_{s.name}": s.raw() for s in usable})
-    stats = [F.count(F.lit(1)).alias("_n")]
+    raws = df.selectExpr("*", *[f"{s.raw} AS _raw_{s.name}" for s in usable])
+    over = f" OVER (PARTITION BY {', '.join(slice_keys)})" if bounded else ""
+    stats = [f"count(*){over} AS _n"]
     for s in usable:
         stats += [
-            F.avg(f"_raw_{s.name}").alias(f"_m_{s.name}"),
-            F.stddev_samp(f"_raw_{s.name}").alias(f"_s_{s.name}"),
+            f"avg(_raw_{s.name}){over} AS _m_{s.name}",
+            f"stddev_samp(_raw_{s.name}){over} AS _s_{s.name}",
         ]
     if bounded:
-        whole = Window.partitionBy(*slice_keys)
-        measured = raws.withColumns({"_n": F.count(F.lit(1)).over(whole)}).withColumns(
-            {f"_m_{s.name}": F.avg(f"_raw_{s.name}").over(whole) for s in usable}
-            | {f"_s_{s.name}": F.stddev_samp(f"_raw_{s.name}").over(whole) for s in usable}
-        )
+        measured = raws.selectExpr("*", *stats)
     else:
         raws = materialized(raws)
-        measured = raws.join(raws.groupBy(*slice_keys).agg(*stats), list(slice_keys))
-    scores = {
-        s.column: standard_score(
-            F.col(f"_raw_{s.name}"), F.col(f"_m_{s.name}"), F.col(f"_s_{s.name}"), F.col("_n"), s.sign
-        )
-        for s in usable
-    }
-    return measured.withColumns(scores).select(*df.columns, *scores)
+        figures = raws.groupBy(*slice_keys).agg(*map(F.expr, stats))
+        measured = raws.join(figures, list(slice_keys))
+    return measured.selectExpr(*df.columns, *[_score(s) for s in usable])
 
 
 def combine_scores(
     scored: DataFrame, weights: DataFrame, keys: Sequence[str], signals: Sequence[Signal]
 ) -> DataFrame:
-    """Weighted sum of the scores, 0 where no signal has weight.
+    """Weighted mean of the scores, 0 where no signal has weight.
 
     `weights` has one row per slice with a `weight_<signal>` column each.
     """
-    parts = [F.coalesce(F.col(f"weight_{s.name}"), F.lit(0.0)) for s in signals]
-    total = sum(parts[1:], parts[0])
-    blended = sum(
-        (F.col(s.column) * p for s, p in zip(signals[1:], parts[1:])),
-        F.col(signals[0].column) * parts[0],
-    )
-    combined = F.when(total > 0, blended / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0))
-    return (
-        scored.join(weights, list(keys), "left")
-        .withColumn("combined_score", combined)
-        .drop(*[f"weight_{s.name}" for s in signals])
-    )
+    parts = {s.column: f"coalesce(weight_{s.name}, 0D)" for s in signals}
+    total = " + ".join(parts.values())
+    blended = " + ".join(f"{column} * {part}" for column, part in parts.items())
+    combined = f"CASE WHEN {total} > 0 THEN ({blended}) / ({total}) ELSE 0D END AS combined_score"
+    return scored.join(weights, list(keys), "left").selectExpr(*scored.columns, combined)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.evaluation import evaluate_signals
@@ -96,10 +96,10 @@ def signal_weights(evidence: DataFrame) -> DataFrame:
 
 
 def _wide_weights(weights: DataFrame, signals: Sequence[Signal]) -> DataFrame:
-    def of(s: Signal) -> Column:
-        return F.max(F.when(F.col("signal") == s.name, F.col("weight"))).alias(f"weight_{s.name}")
-
-    return weights.groupBy(*SLICE).agg(*[of(s) for s in signals])
+    columns = [
+        f"max(CASE WHEN signal = '{s.name}' THEN weight END) AS weight_{s.name}" for s in signals
+    ]
+    return weights.groupBy(*SLICE).agg(*map(F.expr, columns))
 
 
 def executed_paths(bars: DataFrame, run: Research) -> DataFrame:
