@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import micros
 from barloom.functions.timeframes import MINUTES, TimeframeError, bucket_start, minutes
 from barloom.operators.positions import KEY, with_gap, with_position
 from barloom.operators.ranks import exact_percentile
@@ -14,6 +15,22 @@ from barloom.operators.ranks import exact_percentile
 PRICES = ("open", "high", "low", "close")
 
 
+def _arrival(ticks: DataFrame, tie: Sequence[str]) -> Column:
+    """Order of ticks: `ts`, then `tie`.
+
+    A time, or a time and one integer packed into a decimal, has a fixed width, which
+    lets Spark aggregate by hash; a struct makes it sort every input partition.
+    """
+    types = dict(ticks.dtypes)
+    if not tie:
+        return F.col("ts")
+    if len(tie) == 1 and types[tie[0]] in ("int", "bigint"):
+        step = F.lit("20000000000000000000").cast("decimal(20,0)")  # above the bigint range
+        whole = micros("ts").cast("decimal(18,0)") * step + F.col(tie[0]).cast("decimal(19,0)")
+        return whole.cast("decimal(38,0)")
+    return F.struct("ts", *tie)
+
+
 def tick_bars(
     ticks: DataFrame,
     timeframe: str,
@@ -25,13 +42,12 @@ def tick_bars(
     Each tick counts 1 where there is no volume column. `tie` orders ticks with
     equal `ts`; without it the time order alone must be unique.
     """
-    order = F.struct("ts", *tie) if tie else F.col("ts")
     volume = F.col("volume") if "volume" in ticks.columns else F.lit(1.0)
     return (
         ticks.select(
             *keys,
             bucket_start("ts", timeframe).alias("_start"),
-            order.alias("_order"),
+            _arrival(ticks, tie).alias("_order"),
             "price",
             volume.alias("_volume"),
         )

@@ -143,25 +143,35 @@ def _listed(df: DataFrame, keys: Sequence[str], issues: list[Column]) -> DataFra
     return df.select(*keys, F.inline(F.filter(F.array(*issues), lambda i: i.isNotNull())))
 
 
+def _counted(raw: DataFrame, keys: Sequence[str], checks: dict[str, Column]) -> DataFrame:
+    """Rows, known times, repeated times and the checks, counted in one scan."""
+    per_time = raw.groupBy(*keys, "ts").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(name) for name, c in checks.items()]
+    )
+    return per_time.groupBy(*keys).agg(
+        F.sum("_n").alias("_rows"),
+        F.coalesce(F.sum(F.when(F.col("ts").isNotNull(), F.col("_n"))), F.lit(0)).alias("_times"),
+        F.sum(F.col("_n") - 1).alias("_repeats"),
+        *[F.sum(name).alias(name) for name in checks],
+    )
+
+
 def validate(raw: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Issues of mapped raw rows, one row `(code, severity, n)` each.
 
     Consistency checks across prices are made only if no price column is mostly
     non-numeric; a suspected high/low swap ends the checks.
     """
-    times = raw.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("_n"))
-    repeats = times.groupBy(*keys).agg(F.sum(F.col("_n") - 1).alias("_repeats"))
     complete = all_of([F.col(c).isNotNull() for c in PRICES])
-    counts = raw.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count("ts").alias("_times"),
-        F.count_if(complete).alias("_complete"),
-        F.count_if(complete & (F.col("high") < F.col("low"))).alias("_swapped"),
-        F.count_if(inconsistent()).alias("_inconsistent"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_bad_{c}") for c in PRICES],
-        *[F.count_if(F.col(c) <= 0).alias(f"_low_{c}") for c in PRICES],
-    )
-    facts = counts.join(repeats, list(keys)).join(out_of_order(raw, keys), list(keys), "left")
+    checks = {
+        "_complete": complete,
+        "_swapped": complete & (F.col("high") < F.col("low")),
+        "_inconsistent": inconsistent(),
+        **{f"_bad_{c}": F.col(c).isNull() for c in PRICES},
+        **{f"_low_{c}": F.col(c) <= 0 for c in PRICES},
+    }
+    counts = _counted(raw, keys, checks)
+    facts = counts.join(out_of_order(raw, keys), list(keys), "left")
     rows, parsed = F.col("_rows"), F.col("_times") > 0
     textual = [F.col(f"_bad_{c}") / rows > 0.5 for c in PRICES]
     numeric = parsed & ~any_of(textual)
@@ -280,15 +290,14 @@ def range_anomalies(
 
 def audit(bars: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Counts of a stored bar table's defects (`block, line` give its order)."""
-    times = bars.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("_n"))
-    repeats = times.groupBy(*keys).agg(F.sum(F.col("_n") - 1).alias("duplicate_timestamps"))
-    counts = bars.groupBy(*keys).agg(
-        *[F.count_if(F.col(c) <= 0).alias(f"nonpositive_{c}") for c in PRICES],
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in PRICES],
-        F.count_if(F.col("high") < F.col("low")).alias("high_below_low"),
-        F.count_if(F.col("volume") < 0).alias("negative_volume"),
-    )
-    return counts.join(repeats, list(keys)).join(out_of_order(bars, keys), list(keys), "left")
+    checks = {
+        **{f"nonpositive_{c}": F.col(c) <= 0 for c in PRICES},
+        **{f"missing_{c}": F.col(c).isNull() for c in PRICES},
+        "high_below_low": F.col("high") < F.col("low"),
+        "negative_volume": F.col("volume") < 0,
+    }
+    counts = _counted(bars, keys, checks).withColumnRenamed("_repeats", "duplicate_timestamps")
+    return counts.drop("_rows", "_times").join(out_of_order(bars, keys), list(keys), "left")
 
 
 def missing_columns(df: DataFrame) -> list[str]:

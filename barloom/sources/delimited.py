@@ -54,9 +54,10 @@ def fields_of(value: str | Column, separator: str) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     if separator == SEPARATORS["space"]:
         return F.split(F.trim(v), r"\s+")
-    # A separator splits only with an even number of quotes after it.
+    # In a line with quotes a separator splits only with an even number of them after it.
     parts = F.split(v, rf'{separator}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(parts, lambda p: F.regexp_replace(p, r'^"(.*)"$', "$1"))
+    unquoted = F.transform(parts, lambda p: F.regexp_replace(p, r'^"(.*)"$', "$1"))
+    return F.when(v.contains('"'), unquoted).otherwise(F.split(v, separator, -1))
 
 
 def _nonblank(lines: DataFrame) -> DataFrame:
