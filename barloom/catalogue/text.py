@@ -5,7 +5,7 @@ Lines and names are spelled from the given tables, as an upload would hold them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.catalogue.common import TICKS, bars_sql, event_bars, r, rounded, table
@@ -249,6 +249,14 @@ def one_series(spark: SparkSession, sf: str) -> DataFrame:
     return bars.withColumn("line", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
+def continuous_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The same series with each bar opening at the close before, as in a market:
+    which of the inner prices is the open shows in nothing else."""
+    before = F.coalesce(F.lag("close").over(Window.partitionBy("instrument").orderBy("ts")), F.col("open"))
+    opened = one_series(spark, sf).withColumn("open", before)
+    return opened.withColumns({"high": F.greatest("high", "open"), "low": F.least("low", "open")})
+
+
 def headerless_query(spark: SparkSession, sf: str) -> DataFrame:
     """Unnamed columns, date and time apart, comma decimals: read back as bars."""
     def number(c: str):
@@ -261,7 +269,7 @@ def headerless_query(spark: SparkSession, sf: str) -> DataFrame:
         *[number(c) for c in ("open", "high", "low", "close")],
         F.col("volume").cast("bigint").cast("string"),
     )
-    found = ingest(materialized(_lines(one_series(spark, sf), value)), "ALL")
+    found = ingest(materialized(_lines(continuous_series(spark, sf), value)), "ALL")
     return rounded(found.bars, 4)
 
 
@@ -269,6 +277,11 @@ ONE_SERIES = """ticks AS (SELECT 'ALL' AS instrument, ts, value AS price FROM ev
 INGEST_ORACLE = f"""WITH {ONE_SERIES}, {bars_sql("1h")}
 SELECT instrument, ts, {", ".join(r(c, digits=4) for c in ("open", "high", "low", "close", "volume"))} FROM bars"""
 
+HEADERLESS_ORACLE = f"""WITH {ONE_SERIES}, {bars_sql("1h")},
+c AS (SELECT instrument, ts, coalesce(lag(close) OVER (ORDER BY ts), open) AS open, high, low, close, volume FROM bars)
+SELECT instrument, ts, {r("open", digits=4)}, {r("greatest(high, open)", "high", 4)}, {r("least(low, open)", "low", 4)},
+  {r("close", digits=4)}, {r("volume", digits=4)} FROM c"""
+
 
 def headered_query(spark: SparkSession, sf: str) -> DataFrame:
     """Named columns in day-first spelling, with defects; the row accounting."""
@@ -356,7 +369,7 @@ QUERIES = {
     "preset_range": (preset_query, PRESET_ORACLE),
     "bars_tail": (tail_query, TAIL_ORACLE),
     "sanitized_output": (sanitize_query, SANITIZE_ORACLE),
-    "ingest_headerless": (headerless_query, INGEST_ORACLE),
+    "ingest_headerless": (headerless_query, HEADERLESS_ORACLE),
     "ingest_headered": (headered_query, HEADERED_ORACLE),
     "ingest_ticks": (tick_file_query, INGEST_ORACLE),
     "cleaning_checks": (cleaning_query, CLEANING_ORACLE),

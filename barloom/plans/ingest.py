@@ -68,9 +68,8 @@ def ingest(
     """
     layout = choose_layout(lines)
     table = to_table(lines, layout)
-    content = table.drop("block", "line")
     if layout.header is None:
-        mapping = map_headerless(content, pair_period_name)
+        mapping = map_headerless(table, pair_period_name)
         second = mapping.columns.pop("timestamp_secondary", None)
         if second is not None:
             table = joined_date_time(table, mapping.columns["timestamp"], second, JOINED)

@@ -106,19 +106,38 @@ def _pick_time(shares: Sequence[float]) -> int:
 
 
 def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict[str, float]:
-    """Shares of readable, non-negative and whole values per reading, in one pass."""
-    wanted = []
-    for t in times:
-        wanted += [share(e).alias(f"{t}#t{i}") for i, e in enumerate(time_readings(t))]
-    for n in numbers:
-        for kind, v in (("n", number(n)), ("c", comma_number(n))):
-            whole = F.abs(v - F.round(v)) < 1e-9
-            wanted += [
-                share(v).alias(f"{n}#{kind}"),
-                share(F.when(v >= 0, v)).alias(f"{n}#{kind}+"),
-                F.avg(F.when(v.isNotNull(), whole.cast("double"))).alias(f"{n}#{kind}i"),
-            ]
-    return {k: v or 0.0 for k, v in df.agg(*wanted).first().asDict().items()}
+    """Shares of readable, non-negative and whole values per reading, in one pass.
+
+    Columns are stacked, so each reading is compiled once whatever the table's width;
+    a column is only tried as what it is listed for. One row per column comes back.
+    """
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col(f"`{c}`").alias("text"),
+                F.lit(c in times).alias("as_time"),
+                F.lit(c in numbers).alias("as_number"),
+            )
+            for c in dict.fromkeys([*times, *numbers])
+        ]
+    )
+    wanted = [
+        share(F.when(F.col("as_time"), e)).alias(f"t{i}") for i, e in enumerate(time_readings("text"))
+    ]
+    for kind, e in (("n", number("text")), ("c", comma_number("text"))):
+        v = F.when(F.col("as_number"), e)
+        whole = F.abs(v - F.round(v)) < 1e-9
+        wanted += [
+            share(v).alias(kind),
+            share(F.when(v >= 0, v)).alias(f"{kind}+"),
+            F.avg(F.when(v.isNotNull(), whole.cast("double"))).alias(f"{kind}i"),
+        ]
+    rows = df.select(F.inline(cells)).groupBy("column").agg(*wanted).collect()
+    names = [*[f"t{i}" for i in range(2 + len(COMPACT))], "n", "n+", "ni", "c", "c+", "ci"]
+    found = {f"{r['column']}#{k}": r[k] or 0.0 for r in rows for k in names}
+    listed = dict.fromkeys([*times, *numbers])
+    return {f"{c}#{k}": found.get(f"{c}#{k}", 0.0) for c in listed for k in names}
 
 
 def time_reading(measured: dict[str, float], column: str) -> tuple[Column, float]:
