@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.bars import PRICES, tick_bars
+from barloom.operators.bars import PRICES, source_timeframe, tick_bars
 from barloom.operators.quality import (
     bar_checks,
     cleaning_checks,
+    irregular_spacing,
     normalize,
     row_accounting,
     tick_accounting,
     valid_ticks,
     validate,
 )
-from barloom.sources.delimited import choose_layout, to_table
+from barloom.sources.delimited import choose_layout, read_lines, to_table
+from barloom.sources.naming import base_name, instrument_from_name, timeframe_from_name
 from barloom.sources.parsing import choose_readings, joined_date_time
 from barloom.sources.schema import (
     JOINED,
@@ -30,14 +32,38 @@ from barloom.sources.schema import (
 )
 
 
+ISSUE_SCHEMA = "instrument string, code string, severity string, n bigint"
+BAR_SCHEMA = (
+    "instrument string, ts timestamp_ntz, open double, high double, low double, close double,"
+    " volume double"
+)
+
+
 @dataclass
 class Ingested:
+    """Bars with their row accounting and issues; `accounting` is None where the
+    columns could not be mapped, and the bars are then empty."""
+
     kind: str
     bars: DataFrame
-    accounting: DataFrame
+    accounting: DataFrame | None
     issues: DataFrame
     mapping: Mapping
 
+    def timeframes(self) -> DataFrame:
+        """Spacing of the bars per instrument, from their median gap."""
+        return source_timeframe(self.bars)
+
+    def spacing_issues(self) -> DataFrame:
+        """Gaps above 100 times the median, as warnings."""
+        odd = irregular_spacing(self.bars).where(F.col("extreme_gaps") > 0)
+        return odd.select(
+            "instrument",
+            F.lit("irregular_bar_spacing").alias("code"),
+            F.lit("warning").alias("severity"),
+            F.col("extreme_gaps").alias("n"),
+        )
+
 
 def mapped_rows(table: DataFrame, mapping: Mapping, instrument: str | Column) -> DataFrame:
     """Typed raw rows of a mapped all-string table."""
@@ -86,13 +112,19 @@ def ingest(
         if timeframe is None:
             raise SchemaError("tick files need a target timeframe")
         return _ticks(table, ticks, mapping, instrument, timeframe)
-    if mapping.missing:
-        raise SchemaError(f"missing columns: {mapping.missing}")
-    if "timestamp" not in mapping.columns:
-        raise SchemaError("missing timestamp column")
+    if mapping.missing or "timestamp" not in mapping.columns:
+        return _unmapped(table, mapping)
     return _bars(table, mapping, instrument)
 
 
+def _unmapped(table: DataFrame, mapping: Mapping) -> Ingested:
+    """No bars, and an issue saying which kind of column was not found."""
+    spark = table.sparkSession
+    code, n = ("missing_columns", len(mapping.missing)) if mapping.missing else ("missing_timestamp", 1)
+    issues = spark.createDataFrame([(None, code, "error", n)], ISSUE_SCHEMA)
+    return Ingested("OHLCV", spark.createDataFrame([], BAR_SCHEMA), None, issues, mapping)
+
+
 def _bars(table: DataFrame, mapping: Mapping, instrument: str | Column) -> Ingested:
     raw = mapped_rows(table, mapping, instrument)
     accounting = row_accounting(raw)
@@ -119,3 +151,22 @@ def _ticks(
     )
     bars = tick_bars(valid_ticks(ticks), timeframe, tie=["block", "line"])
     return Ingested("TICK_AGGREGATED", bars, tick_accounting(ticks), bar_checks(bars), mapping)
+
+
+def ingest_directory(spark: SparkSession, path: str, instrument: str | None = None) -> Ingested:
+    """All files under `path`; names give the instruments and the spacing.
+
+    Files share one layout. `instrument` stands in where a name tells none.
+    """
+    lines = read_lines(spark, path)
+    name = base_name(F.col("block.file"))
+    told = lines.select(
+        instrument_from_name(name).isNull().alias("unnamed"), timeframe_from_name(name).alias("spacing")
+    ).distinct()
+    facts = told.collect()  # at most two times eight combinations
+    if instrument is None and any(f["unnamed"] for f in facts):
+        raise SchemaError("some file names tell no instrument and none was given")
+    spacings = {f["spacing"] for f in facts}
+    timeframe = spacings.pop() if len(spacings) == 1 else None
+    key = F.coalesce(instrument_from_name(name), F.lit(instrument))
+    return ingest(lines, key, timeframe, pair_period_name=timeframe is not None)

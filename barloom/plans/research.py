@@ -44,7 +44,7 @@ def run_research(bars: DataFrame, run: Research) -> RunResult:
 
     The executed paths feed both the risk and the cost tables, so they are stored.
     """
-    leaking = future_named(FEATURES)
+    leaking = future_named([*FEATURES, *(f for s in run.signals for f in s.needs)])
     if leaking:
         raise ValueError(f"targets among the features: {leaking}")
     folded = assign_folds(bars.select("instrument", "ts", "pos", "n_bars"), run.plan, run.tail)

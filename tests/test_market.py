@@ -12,7 +12,7 @@ from barloom.operators.ladder import NAIVE, ladder_errors, predict_ladder
 from barloom.operators.quality import row_accounting, validate
 from barloom.operators.regimes import causal_regimes, current_regime, detect_regimes
 from barloom.plans.backtest import Research, regime_evidence
-from barloom.plans.ingest import ingest
+from barloom.plans.ingest import ingest, ingest_directory
 from barloom.plans.research import load_bars, research_summary, run_research, run_settings
 from barloom.sources import tables
 from barloom.sources.delimited import LayoutError, read_lines
@@ -206,6 +206,26 @@ def test_files_are_read_and_malformed_lines_refused(spark, tmp_path):
         ingest(read_lines(spark, str(tmp_path / "bad.csv")), "EUR_USD")
 
 
+def test_directory_names_give_instruments(spark, tmp_path):
+    for name in ("EURUSD60.csv", "GBPCAD60.csv"):
+        (tmp_path / name).write_text("\n".join(table(header=False)))
+    found = ingest_directory(spark, str(tmp_path))
+    sizes = {r.instrument: r["count"] for r in found.bars.groupBy("instrument").count().collect()}
+    assert sizes == {"EUR_USD": 300, "GBP_CAD": 300}
+    assert {r.timeframe for r in found.timeframes().collect()} == {"1h"}
+    assert found.spacing_issues().count() == 0
+    (tmp_path / "mydata.csv").write_text("\n".join(table(header=False)))
+    with pytest.raises(SchemaError):
+        ingest_directory(spark, str(tmp_path))
+
+
+def test_missing_columns_are_an_issue(spark):
+    rows = ["Time,Open,High,Low"] + [f"2024-01-01 00:{i:02d},1,2,1" for i in range(30)]
+    found = ingest(lines_of(spark, rows), "A")
+    assert [r.code for r in found.issues.collect()] == ["missing_columns"]
+    assert found.bars.count() == 0 and found.mapping.missing == ["close"]
+
+
 def test_swapped_high_low_is_an_error(spark):
     rows = spark.range(300).selectExpr(
         "'A' AS instrument", "0 AS block", "id AS line",
