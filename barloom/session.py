@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +59,15 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="barloom-")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    """One temporary folder per local process, removed when it ends."""
+    folder = tempfile.TemporaryDirectory(prefix="barloom-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -70,11 +80,3 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/barloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so a lost executor costs no replay."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
