@@ -23,13 +23,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         .select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"))
         .distinct()
     )
-    mark = _mark(edges)
-    while True:
+    while _unsettled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -39,13 +36,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             .distinct()
         )
         edges = materialized(small)
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether the links aren't stars yet, with the smallest node in the middle."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return not sums.where("up > 1 or up > 0 and down > 0").isEmpty()

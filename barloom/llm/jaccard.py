@@ -183,12 +183,26 @@ def _prefixes(percent: int):
     return run
 
 
-def _open(entries: DataFrame, reached: DataFrame | None) -> DataFrame:
+def _by_label(links: DataFrame, reached: DataFrame) -> DataFrame:
+    """Links between the labels of their ends."""
+    for end in "ab":
+        links = links.join(reached.select(F.col("set_id").alias(end), F.col("label").alias(f"label_{end}")), end)
+    return links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct()
+
+
+def _hooked(reached: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after each linked label is hung to its smallest neighbour, and that to its own."""
+    ends = [F.col("a"), F.col("b")]
+    hook = _by_label(found, reached).groupBy(F.greatest(*ends).alias("label")).agg(F.min(F.least(*ends)).alias("parent"))
+    hook = materialized(hook)
+    up = hook.select(F.col("label").alias("parent"), F.col("parent").alias("above"))
+    hook = hook.join(up, "parent", "left").select("label", F.coalesce("above", "parent").alias("parent"))
+    return reached.join(hook, "label", "left").select("set_id", F.coalesce("parent", "label").alias("label"))
+
+
+def _open(entries: DataFrame, reached: DataFrame) -> DataFrame:
     """Entries with their set's label, of lists that hold several labels."""
-    if reached is None:
-        labelled = entries.withColumn("label", F.col("set_id"))
-    else:
-        labelled = entries.join(reached, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    labelled = entries.join(reached, "set_id")
     several = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     return labelled.join(several.select("h"), "h")
 
@@ -232,7 +246,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     64-bit hashes.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of hashes, and of sets: those get a packed row from each range of hashes.
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = -(-parts // 4)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
 
     def describe(batches):
@@ -247,7 +263,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         texts.select("text")
         .mapInArrow(_index(parts, k), _PACK)
         .groupBy("r")
-        .applyInArrow(_shared(parts), _PACK)
+        .applyInArrow(_shared(groups), _PACK)
         .groupBy("r")
         .applyInArrow(_prefixes(percent), "set_id long, n long, alone long, first long, tokens array<long>")
     )
@@ -256,7 +272,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     # Blocks of a list hold sizes of one step of the similarity.
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100)))).alias("block")
     entries = materialized(entries.select("h", "set_id", "n", "at", block))
-    links = reached = None
+    links = None
+    reached = sets.select("set_id", F.col("set_id").alias("label"))
     turn = 0
     while True:
         open_ = materialized(_open(entries, reached))
@@ -264,16 +281,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         key = F.struct("label", F.xxhash64("set_id", F.lit(turn)).alias("random"), "set_id")
         led = open_.groupBy("h", "block").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo.label < hi.label")
         leader = F.when(F.col("label") == F.col("lo.label"), F.col("hi.set_id")).otherwise(F.col("lo.set_id"))
-        pairs = (
+        pairs = materialized(
             open_.join(led, ["h", "block"])
             .groupBy(F.col("set_id").alias("a"))
             .agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("random"), leader.alias("b"))).alias("best"))
             .select("a", "best.b")
         )
-        pairs = materialized(pairs)
         found = materialized(_linked(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
-        reached = components(links, "a", "b").select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+        reached = materialized(_hooked(reached, found))
         turn += 1
         if found.count() * JOINED < pairs.count():
             break
@@ -289,7 +305,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         .distinct()
     )
     links = links.unionByName(_linked(rest, sets, percent))
-    grouped = components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
+    joined = components(_by_label(links, reached), "a", "b").select(F.col("node").alias("label"), "component")
+    grouped = reached.join(joined, "label", "left").select("set_id", F.coalesce("component", "label").alias("component"))
     classes = documents.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("least"))
     classes = classes.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
