@@ -1,12 +1,14 @@
 """Queries of this package: name -> (Spark callable, SQL for the same rows or None)."""
 
-from barloom.llm import chat, jaccard, langid, mixing, tiling, tokens, urls
+from barloom.llm import chat, jaccard, langid, lines, mixing, tiling, tokens, urls, vectors
 
 QUERIES = {
+    "op1_vectors": (vectors.op1_vectors, vectors.SQL_VECTORS),
     "op2_decontamination": (tiling.op2_decontamination, None),
     "op3_tokens": (tokens.op3_tokens, None),
     "op4_chat": (chat.op4_chat, chat.SQL_CHAT),
     "op5_urls": (urls.op5_urls, None),
+    "op6_lines": (lines.op6_lines, None),
     "op7_langid": (langid.op7_langid, None),
     "op9_jaccard": (jaccard.op9_jaccard, jaccard.SQL_JACCARD),
     "op10_mixing": (mixing.op10_mixing, mixing.SQL_MIX),
