@@ -78,7 +78,7 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sized(df: DataFrame, width: int) -> DataFrame:
+def sized(df: DataFrame, width: int) -> DataFrame:
     """A written table, to be broadcast if it is small."""
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
@@ -92,7 +92,7 @@ def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = with_bands(lines).select("key", F.explode("bands").alias("band")).repartition("band")
     ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
     members = materialized(banded.join(ends, "band").select("band", "key", "lo").distinct())
-    keys = _sized(materialized(members.select("key").distinct()), 16)
+    keys = sized(materialized(members.select("key").distinct()), 16)
     texts = lines.join(keys, "key").groupBy("key").agg(F.min("line").alias("line"))
     texts = materialized(texts)
 
