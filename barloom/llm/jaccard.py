@@ -291,7 +291,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         links = found if links is None else links.unionByName(found)
         reached = materialized(_hooked(reached, found))
         turn += 1
-        if found.count() * JOINED < pairs.count():
+        if found.count() * JOINED <= pairs.count():
             break
     # What is left: pairs in one list whose sets don't hang together yet.
     open_ = materialized(_open(entries, reached))
