@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.components import components
+from barloom.llm.linking import across, link
 from barloom.llm.shingles import WORDS, set_id, shingle_set
 from barloom.session import materialized
 
@@ -26,9 +26,6 @@ from barloom.session import materialized
 PERCENT = 75
 #: Shingles that a task holds before it sends them.
 HELD = 2_000_000
-#: Leaders are tried again until fewer than one in so many of a turn's sets joins one; this
-#: decides how the pairs are found, not which.
-JOINED = 20
 _PACK = "r int, ids binary, sizes binary, hashes binary, planes int, owners binary, counts binary"
 
 
@@ -183,35 +180,6 @@ def _prefixes(percent: int):
     return run
 
 
-def _by_label(links: DataFrame, reached: DataFrame) -> DataFrame:
-    """Links between the labels of their ends."""
-    for end in "ab":
-        links = links.join(reached.select(F.col("set_id").alias(end), F.col("label").alias(f"label_{end}")), end)
-    return links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct()
-
-
-def _hooked(reached: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels after each linked label is hung to its smallest neighbour, and that to its own."""
-    ends = [F.col("a"), F.col("b")]
-    hook = _by_label(found, reached).groupBy(F.greatest(*ends).alias("label")).agg(F.min(F.least(*ends)).alias("parent"))
-    hook = materialized(hook)
-    up = hook.select(F.col("label").alias("parent"), F.col("parent").alias("above"))
-    hook = hook.join(up, "parent", "left").select("label", F.coalesce("above", "parent").alias("parent"))
-    return reached.join(hook, "label", "left").select("set_id", F.coalesce("parent", "label").alias("label"))
-
-
-def _open(entries: DataFrame, reached: DataFrame) -> DataFrame:
-    """Entries with their set's label, of lists that hold several labels."""
-    labelled = entries.join(reached, "set_id")
-    several = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return labelled.join(several.select("h"), "h")
-
-
-def _close(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that can be similar."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that are similar."""
     left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -268,45 +236,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         .applyInArrow(_prefixes(percent), "set_id long, n long, alone long, first long, tokens array<long>")
     )
     entries = sets.select("set_id", "n", "alone", F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "h"))
-    entries = entries.select("h", "set_id", "n", (F.col("alone") + F.col("i")).alias("at"))
     # Blocks of a list hold sizes of one step of the similarity.
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100)))).alias("block")
-    entries = materialized(entries.select("h", "set_id", "n", "at", block))
-    links = None
-    reached = sets.select("set_id", F.col("set_id").alias("label"))
-    turn = 0
-    while True:
-        open_ = materialized(_open(entries, reached))
-        # A set's leader: of the lowest other label in one of its blocks, a set that changes by turn.
-        key = F.struct("label", F.xxhash64("set_id", F.lit(turn)).alias("random"), "set_id")
-        led = open_.groupBy("h", "block").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo.label < hi.label")
-        leader = F.when(F.col("label") == F.col("lo.label"), F.col("hi.set_id")).otherwise(F.col("lo.set_id"))
-        pairs = materialized(
-            open_.join(led, ["h", "block"])
-            .groupBy(F.col("set_id").alias("a"))
-            .agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("random"), leader.alias("b"))).alias("best"))
-            .select("a", "best.b")
-        )
-        found = materialized(_linked(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        reached = materialized(_hooked(reached, found))
-        turn += 1
-        if found.count() * JOINED <= pairs.count():
-            break
-    # What is left: pairs in one list whose sets don't hang together yet.
-    open_ = materialized(_open(entries, reached))
-    x, y = open_.alias("x"), open_.alias("y")
+    entries = entries.select(
+        F.col("h").alias("list"), F.col("set_id").alias("node"), "n", (F.col("alone") + F.col("i")).alias("at"), block
+    )
+
     nx, ny = F.col("x.n"), F.col("y.n")
     room = 1 + F.least(nx - 1 - F.col("x.at"), ny - 1 - F.col("y.at"))
-    rest = (
-        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")))
-        .where(_close(nx, ny, percent) & (room * (100 + percent) >= (nx + ny) * percent))
-        .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-        .distinct()
-    )
-    links = links.unionByName(_linked(rest, sets, percent))
-    joined = components(_by_label(links, reached), "a", "b").select(F.col("node").alias("label"), "component")
-    grouped = reached.join(joined, "label", "left").select("set_id", F.coalesce("component", "label").alias("component"))
+    close = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
+    allowed = close & (room * (100 + percent) >= (nx + ny) * percent)
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return _linked(pairs, sets, percent)
+
+    grouped = link(entries, compare, ["block"], lambda open_: compare(across(open_, allowed)))
+    grouped = grouped.withColumnRenamed("node", "set_id")
     classes = documents.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("least"))
     classes = classes.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = classes.groupBy("component").agg(F.min("least").alias("component_id"))

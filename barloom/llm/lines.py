@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.components import components
+from barloom.llm.linking import across, link
 from barloom.session import materialized
 
 #: Characters of a shingle of the exact check, and of one of the signature.
@@ -20,11 +20,6 @@ BROADCAST_BYTES = 32 << 20
 _START = r"(?:(?<!\p{L})|(?<=[฀-໿ក-៿⺀-퟿豈-﫿]))"
 
 
-def normal(line: Column) -> Column:
-    """Lines are compared lower-cased and trimmed."""
-    return F.lower(F.trim(line))
-
-
 def shingles(line: Column) -> Column:
     """All distinct runs of SHINGLE characters; the whole line if it is shorter."""
     runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
@@ -33,16 +28,19 @@ def shingles(line: Column) -> Column:
 
 def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
     """Whether 100 * shared shingles >= percent * all shingles."""
-
-    def enough(x: Column, y: Column, both: Column) -> Column:
-        return both * 100 >= (F.size(x) + F.size(y) - both) * percent
-
     return _with(
-        F.struct(shingles(a).alias("x"), shingles(b).alias("y")),
-        lambda s: _with(F.size(F.array_intersect(s.x, s.y)), lambda both: enough(s.x, s.y, both)),
+        F.struct(shingles(a).alias("x"), shingles(b).alias("y")), lambda s: _enough(s.x, s.y, percent)
     )
 
 
+def _enough(x: Column, y: Column, percent: int) -> Column:
+    """The same for sets of distinct shingles; sizes are looked at first."""
+    n = F.size(x) + F.size(y)
+    sizes = F.least(F.size(x), F.size(y)) * 100 >= F.greatest(F.size(x), F.size(y)) * percent
+    # shared >= percent * (n - shared) / 100
+    return sizes & (F.size(F.array_intersect(x, y)) * (100 + percent) >= n * percent)
+
+
 def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds `bands`, the hashes of a one-permutation MinHash signature.
 
@@ -86,31 +84,28 @@ def sized(df: DataFrame, width: int) -> DataFrame:
 def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, component) of the distinct lines (key, line) that are like another one.
 
-    Each line of a band's bucket is first compared with the bucket's smallest; then lines of one
-    bucket that don't hang together yet, with each other. Buckets are never cut.
+    Lines of one bucket, those with equal bands, are compared. Buckets are never cut.
     """
-    banded = with_bands(lines).select("key", F.explode("bands").alias("band")).repartition("band")
-    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    members = materialized(banded.join(ends, "band").select("band", "key", "lo").distinct())
-    keys = sized(materialized(members.select("key").distinct()), 16)
-    texts = lines.join(keys, "key").groupBy("key").agg(F.min("line").alias("line"))
-    texts = materialized(texts)
+    # Outer, as Spark would compute the bands of a plain explode twice, to drop empty ones first.
+    banded = with_bands(lines).select("key", F.explode_outer("bands").alias("band")).where("band is not null").repartition("band")
+    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band")
+    members = materialized(banded.join(ends, "band").select(F.col("band").alias("list"), F.col("key").alias("node")).distinct())
+    keys = sized(materialized(members.select(F.col("node").alias("key")).distinct()), 16)
+    texts = materialized(lines.join(keys, "key").groupBy("key").agg(F.min("line").alias("line")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         for end in "ab":
             pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("line").alias(f"l{end}")), end)
         return pairs.where(similar(F.col("la"), F.col("lb"), percent)).select("a", "b")
 
-    near = materialized(linked(members.where("key <> lo").select(F.col("key").alias("a"), F.col("lo").alias("b")).distinct()))
-    reached = components(near, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("label"))
-    labelled = members.select("band", "key").join(reached, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_ = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    labelled = materialized(labelled.join(open_, "band"))
-    x, y = labelled.alias("x"), labelled.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")))
-    rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    links = near.unionByName(linked(rest))
-    return components(links, "a", "b").select(F.col("node").alias("key"), "component")
+    def rest(open_: DataFrame) -> DataFrame:
+        # Many lines may share a passage and be unlike: the check stands in the join itself, so
+        # that only like pairs leave it. It compares 64-bit hashes of the shingles.
+        hashed = F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))
+        sets = texts.select(F.col("key").alias("node"), hashed.alias("s"))
+        return across(materialized(open_.join(sets, "node")), _enough(F.col("x.s"), F.col("y.s"), percent))
+
+    return link(members, linked, [], rest).withColumnRenamed("node", "key")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -125,8 +120,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_kept", "_doc", "_gone")]
     docs = docs.select(*own, F.xxhash64(F.col(id_col), F.col(text)).alias("_doc"))
-    lines = docs.select("_doc", F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", normal(F.col("line"))).where("line <> ''").withColumn("key", F.xxhash64("line"))
+    lines = docs.select("_doc", F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.lower(text), "\n")).alias("at", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''").withColumn("key", F.xxhash64("line"))
     places = materialized(lines.select("_doc", "id", "at", "key"))
     place = F.struct("id", "at", "_doc")
     firsts = places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
