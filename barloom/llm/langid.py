@@ -144,7 +144,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
             for name in sorted(set(langs)):
                 for _, h, _ in gram_hashes([t for t, of in zip(texts, langs) if of == name]):
                     h, n = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": [name] * len(h), "h": h.view(np.int64), "n": n.astype(np.int64)})
+                    names = pa.array([name] * len(h), pa.string())
+                    yield pa.RecordBatch.from_pydict({"lang": names, "h": h.view(np.int64), "n": n.astype(np.int64)})
 
     counts = bounded(rows, "lang", F.col("id"), sample).select("lang", "text").mapInArrow(count, "lang string, h long, n long")
     counts = counts.groupBy("lang", "h").agg(F.sum("n").alias("n"))
