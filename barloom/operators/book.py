@@ -177,7 +177,8 @@ def sweep(
     takes the opposite side by price, then arrival, within its limit; it fills the
     orders whose `ahead` lies below its reach. The join cuts `ahead` into cells of
     the mean reach: a request enters about two cells, all orders of all but its
-    last cell are fills, and no others are paired.
+    last cell are fills, and no others are paired. What rounding leaves of a sum of
+    quantities, up to `FULL`, is no fill.
     """
     side = [*keys, "side"]
     small = fits(orders, side, limit) and fits(requests, side, limit)
@@ -206,9 +207,8 @@ def sweep(
     fill = F.least(F.col("_resting"), F.col("reach") - F.col("ahead"))
     return (
         cells.join(resting, [*side, "_cell"])
-        .where(F.col("ahead") < F.col("reach"))
         .select(*side, "request_id", "order_id", "fill_price", fill.alias("fill_quantity"))
-        .where(F.col("fill_quantity") > 0)
+        .where(F.col("fill_quantity") > FULL)
     )
 
 

@@ -75,14 +75,15 @@ CLOCK_SQL = {
 # A deviation below this share of the window's mean square is rounding noise.
 NOISE = 1e-13
 
-# Quantities summed over frames. Prices are measured from the block's level.
+# Quantities summed over frames. Prices are measured from the block's level, volumes from the
+# first one, so that large volumes that vary little keep their digits.
 TERMS = {
     "c1": "close - _level",
     "c2": "(close - _level) * (close - _level)",
     "r1": "log_return_1",
     "r2": "log_return_1 * log_return_1",
-    "v1": "volume",
-    "v2": "volume * volume",
+    "v1": "volume - _vfirst",
+    "v2": "(volume - _vfirst) * (volume - _vfirst)",
     "g0": "CASE WHEN _rng IS NOT NULL THEN 1D END",
     "g1": "_rng",
     "g2": "_rng * _rng",
@@ -186,13 +187,15 @@ def add_features(
     single = {"_row": f"row_number() OVER {w}", "log_return_1": f"_lc - {lagged('_lc', 1)}"}
     if priced:
         single["_first"] = f"first(close) OVER {w}"
+    if any(k in terms for k in ("v1", "v2")):
+        single["_vfirst"] = f"first(volume) OVER {w}"
     for n in LAGS:
         single[f"return_{n}"] = f"try_divide(close, {lagged('close', n)}) - 1"
         single[f"momentum_{n}"] = f"_lc - {lagged('_lc', n)}"
     single["volume_change_5"] = f"try_divide(volume, {lagged('volume', 5)}) - 1"
     if "volume_norm_return" in wanted:
         single["_ret1"] = f"try_divide(close, {lagged('close', 1)}) - 1"
-    helpers = {"_row", "_first", "_ret1", "log_return_1"}
+    helpers = {"_row", "_first", "_vfirst", "_ret1", "log_return_1"}
     single = {k: e for k, e in single.items() if k in wanted | helpers}
     for h in horizons:
         single[target_column(h)] = f"lead(_lc, {h}) OVER {w} - _lc"
@@ -255,10 +258,10 @@ def add_features(
         "vol_change_10": f"realized_vol_10 - {lagged('realized_vol_10', 5)}",
         "parkinson_vol_20": once(20, f"sqrt(greatest(_h1_20, 0D) / 20 / {4 * math.log(2)!r}D)"),
         "volume_zscore_20": once(
-            20, f"try_divide(volume - _v1_20 / 20, {deviation('v', 20)})"
+            20, f"try_divide(volume - _vfirst - _v1_20 / 20, {deviation('v', 20)})"
         ),
-        "volume_norm_return": once(20, "try_divide(_ret1, _v1_20 / 20)"),
-        "activity_intensity_10": once(50, "try_divide(_v1_10 / 10, _v1_50 / 50)"),
+        "volume_norm_return": once(20, "try_divide(_ret1, _vfirst + _v1_20 / 20)"),
+        "activity_intensity_10": once(50, "try_divide(_vfirst + _v1_10 / 10, _vfirst + _v1_50 / 50)"),
         "close_loc_in_range": "(close - low) / _rng",
         "bar_range_pct": "_rng / close",
         "range_zscore_20": (

@@ -295,3 +295,13 @@ def test_ranges(bars):
             research_range(bars, start, end)
     row = coverage(bars, "2024-01-10", None).where("instrument = 'A'").first()
     assert row.bars_selected == 3500 - 216 and not row.requested_out_of_range
+
+
+def test_sweep_leaves_no_rounding_fill(spark):
+    from barloom.operators.book import sweep
+
+    orders = [("A", 1, "sell", 10.0, 0.7, 1), ("A", 2, "sell", 11.0, 0.1, 2), ("A", 3, "sell", 99.0, 5.0, 3)]
+    kinds = "instrument string, id long, side string, price double, quantity double, ts long"
+    asked = spark.createDataFrame([("A", 1, "buy", 0.8)], "instrument string, request_id long, side string, quantity double")
+    fills = sweep(spark.createDataFrame(orders, kinds), asked).collect()
+    assert sorted((f.order_id, round(f.fill_quantity, 9)) for f in fills) == [(1, 0.7), (2, 0.1)]
