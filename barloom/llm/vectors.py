@@ -16,7 +16,7 @@ COSINE = 0.95
 #: Vectors to fit the quantisers on, about; lists at most; codes of a subspace at most; subspaces.
 SAMPLE, LISTS, CODES, PARTS = 20_000, 1024, 256, 8
 #: Vectors of a packed block.
-BLOCK = 1024
+BLOCK = 256
 #: Room for rounding in bounds of distances.
 SLACK = 1e-6
 
@@ -196,7 +196,8 @@ def _links(groups: DataFrame, n: int, cosine: float) -> DataFrame:
 
     def meet(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(len(batch)):  # rows are large: one at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 a, b = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 q, x = (np.frombuffer(row[c], np.float64).reshape(len(i), -1) for c, i in (("q", a), ("x", b)))
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(b), -1)
