@@ -15,7 +15,7 @@ from barloom.session import materialized
 COSINE = 0.95
 #: Vectors to fit the quantisers on, about; lists at most; codes of a subspace at most; subspaces.
 SAMPLE, LISTS, CODES, PARTS = 20_000, 1024, 256, 8
-#: Vectors of a packed block.
+#: Vectors of a packed block, about.
 BLOCK = 256
 #: Room for rounding in bounds of distances.
 SLACK = 1e-6
@@ -154,8 +154,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 def _links(groups: DataFrame, n: int, cosine: float) -> DataFrame:
     """(a, b, links): for links > 0 the links of a, else a and b hang together.
 
-    A block of queries meets a block of a list's members in one task, which returns a count for
-    each query and a spanning forest of the links it found.
+    A list's members and queries are dealt by a hash of their ids over blocks of about BLOCK.
+    Each pair of blocks is one group, so a hot list spreads over many tasks; a group returns a
+    count for each query and a spanning forest of the links it found.
     """
     share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
     sample = groups.where(share if n > SAMPLE else F.lit(True)).select("v").orderBy("v").toArrow()["v"].combine_chunks()
@@ -169,57 +170,69 @@ def _links(groups: DataFrame, n: int, cosine: float) -> DataFrame:
             x = _unit(batch["v"])
             at, codes, error = quantiser.encode(x)
             rows, lists = quantiser.probes(x, reach)
-            for kind, pick, of in (("member", np.arange(len(x)), at), ("query", rows, lists)):
-                order = np.argsort(of, kind="stable")
-                pick, of = pick[order], of[order]
-                for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
-                    for i in range(0, len(part), BLOCK):
-                        sel = pick[part[i : i + BLOCK]]
-                        taken = batch.take(pa.array(sel))
-                        member = kind == "member"
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "list": pa.array([of[part[0]]], pa.int32()),
-                                "member": [member],
-                                "ids": [np.asarray(taken["id"]).tobytes()],
-                                "copies": [np.asarray(taken["copies"]).tobytes()],
-                                "x": [x[sel].tobytes()],
-                                "codes": [codes[sel].tobytes() if member else b""],
-                                "error": [error[sel].tobytes() if member else b""],
-                            }
-                        )
-
-    schema = "list int, member boolean, ids binary, copies binary, x binary, codes binary, error binary"
-    blocks = materialized(groups.select("id", "v", "copies").mapInArrow(place, schema))
-    members = blocks.where("member").drop("member")
-    asked = blocks.where("not member").select("list", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-
-    def meet(batches):
-        for batch in batches:
-            for k in range(len(batch)):  # rows are large: one at a time
-                row = batch.slice(k, 1).to_pylist()[0]
-                a, b = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, x = (np.frombuffer(row[c], np.float64).reshape(len(i), -1) for c, i in (("q", a), ("x", b)))
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(b), -1)
-                i, j = quantiser.near(row["list"], q, codes, np.frombuffer(row["error"]), reach)
-                keep = a[i] != b[j]
-                i, j = i[keep], j[keep]
-                keep = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
-                i, j = i[keep], j[keep]
-                if len(i):
-                    copies = np.frombuffer(row["copies"], np.int64)
-                    links = np.bincount(i, copies[j], len(a)).astype(np.int64)
-                    some = np.flatnonzero(links)
-                    u, v = _forest(a[i], b[j])
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "a": np.r_[a[some], u],
-                            "b": np.r_[a[some], v],
-                            "links": np.r_[links[some], np.zeros(len(u), np.int64)],
-                        }
-                    )
-
-    return members.join(asked, "list").mapInArrow(meet, "a long, b long, links long")
+            ids, copies = np.asarray(batch["id"]), np.asarray(batch["copies"])
+            for member, pick, of in ((True, np.arange(len(x)), at), (False, rows, lists)):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "list": pa.array(of, pa.int32()),
+                        "member": pa.array(np.full(len(pick), member)),
+                        "id": ids[pick],
+                        "copies": copies[pick],
+                        "x": pa.array([x[k].tobytes() for k in pick], pa.binary()),
+                        "codes": pa.array([codes[k].tobytes() if member else b"" for k in pick], pa.binary()),
+                        "error": error[pick],
+                    }
+                )
+
+    schema = "list int, member boolean, id long, copies long, x binary, codes binary, error double"
+    placed = materialized(groups.select("id", "v", "copies").mapInArrow(place, schema))
+    # Blocks of members and of queries of each list; there are at most LISTS lists.
+    sizes = placed.groupBy("list").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((F.col("member"), "rows"), (~F.col("member"), "columns"))])
+    placed = placed.join(F.broadcast(materialized(sizes)), "list")
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("member"), F.col("rows")).otherwise(F.col("columns"))).cast("int")
+    by = ["list", "member", "part", "rows", "columns"]
+
+    def pack(key, table):
+        packed = {name: [value.as_py()] for name, value in zip(by, key)}
+        for name in ("id", "copies", "error"):
+            packed[name] = [table[name].to_numpy().tobytes()]
+        for name in ("x", "codes"):
+            packed[name] = [b"".join(table[name].to_pylist())]
+        return pa.table(packed, pack_schema)
+
+    pack_schema = pa.schema(
+        [(n, pa.bool_() if n == "member" else pa.int32()) for n in by] + [(n, pa.binary()) for n in ("id", "copies", "error", "x", "codes")]
+    )
+    spelled = "list int, member boolean, part int, rows int, columns int, id binary, copies binary, error binary, x binary, codes binary"
+    blocks = materialized(placed.withColumn("part", part).groupBy(*by).applyInArrow(pack, spelled))
+
+    # Each block of members meets each block of queries of its list, one such pair to a group.
+    def spread(member: bool, own: str, other: str, count: str, columns: list[str]) -> DataFrame:
+        mine = blocks.where(F.col("member") == member)
+        return mine.select("list", F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(other), *columns)
+
+    members = spread(True, "r", "c", "columns", ["id", "copies", "error", "x", "codes"]).groupBy("list", "r", "c")
+    asked = spread(False, "c", "r", "rows", ["id", "x"]).groupBy("list", "r", "c")
+
+    def meet(key, member, query):
+        if not len(member) or not len(query):
+            return found_schema.empty_table()
+        row, ask = member.to_pylist()[0], query.to_pylist()[0]
+        a, b = np.frombuffer(ask["id"], np.int64), np.frombuffer(row["id"], np.int64)
+        q, x = (np.frombuffer(r["x"], np.float64).reshape(len(i), -1) for r, i in ((ask, a), (row, b)))
+        codes = np.frombuffer(row["codes"], np.uint8).reshape(len(b), -1)
+        i, j = quantiser.near(key[0].as_py(), q, codes, np.frombuffer(row["error"]), reach)
+        keep = a[i] != b[j]
+        i, j = i[keep], j[keep]
+        keep = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
+        i, j = i[keep], j[keep]
+        links = np.bincount(i, np.frombuffer(row["copies"], np.int64)[j], len(a)).astype(np.int64)
+        some = np.flatnonzero(links)
+        u, v = _forest(a[i], b[j]) if len(i) else (a[:0], a[:0])
+        return pa.table({"a": np.r_[a[some], u], "b": np.r_[a[some], v], "links": np.r_[links[some], np.zeros(len(u), np.int64)]}, found_schema)
+
+    found_schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "links")])
+    return members.cogroup(asked).applyInArrow(meet, "a long, b long, links long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
