@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.lookup import cuts, last_step, piece
-from barloom.operators.positions import KEY, fits
+from barloom.operators.positions import KEY
 from barloom.session import materialized
 
 BUY, SELL = "buy", "sell"
@@ -77,11 +77,11 @@ def depth_within(orders: DataFrame, levels: int, keys: Sequence[str] = KEY) -> D
     )
 
 
-def _queue(orders: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+def _queue(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each order with `ahead` and `notional_ahead`: quantity and value of its side
     before it in priority, and `distance`, its price as a cost to the taker.
 
-    Books too large for one task are cut into cells of one price and one stretch of
+    Large books are cut into cells of one price and one stretch of
     arrival times. Only cell totals are summed across a book, inside pieces of prices.
     """
     side = [*keys, "side"]
@@ -94,11 +94,6 @@ def _queue(orders: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     priced = orders.withColumn(
         "distance", F.when(F.col("side") == BUY, -F.col("price")).otherwise(F.col("price"))
     )
-    if small:
-        w = Window.partitionBy(*side).orderBy("distance", "ts", "id").rowsBetween(*earlier)
-        return priced.withColumns(
-            {"ahead": summed("quantity", w), "notional_ahead": summed(value, w)}
-        )
     placed = (
         priced.join(cuts(orders, side, "ts", "_times"), side, "left")
         .withColumn("_cell", piece("ts", "_times"))
@@ -141,9 +136,7 @@ def _opposite() -> Column:
     return F.when(F.col("side") == BUY, SELL).otherwise(BUY)
 
 
-def _with_reach(
-    queue: DataFrame, requests: DataFrame, keys: Sequence[str], small: bool
-) -> DataFrame:
+def _with_reach(queue: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add `reach`: the quantity a request fills, from what it wants and what rests
     on the other side within its limit."""
     side = [*keys, "side"]
@@ -159,7 +152,7 @@ def _with_reach(
     limited = sized.withColumn("distance", cost)
     levels = steps.groupBy(*side, "distance").agg(F.max("through").alias("_within"))
     probes = limited.where(F.col("distance").isNotNull()).select(*side, "distance").distinct()
-    within = last_step(levels, probes, side, "distance", ["_within"], small=small)
+    within = last_step(levels, probes, side, "distance", ["_within"])
     capped = F.least(reach, F.coalesce("_within", F.lit(0.0)))
     return (
         limited.join(within, [*side, "distance"], "left")
@@ -168,9 +161,7 @@ def _with_reach(
     )
 
 
-def sweep(
-    orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY, limit: int | None = None
-) -> DataFrame:
+def sweep(orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Fills of each request against the unchanged snapshot.
 
     Requests are `instrument, request_id, side, quantity[, limit_price]`. A request
@@ -181,9 +172,8 @@ def sweep(
     quantities, up to `FULL`, is no fill.
     """
     side = [*keys, "side"]
-    small = fits(orders, side, limit) and fits(requests, side, limit)
-    queue = materialized(_queue(orders, keys, small))
-    wanted = _with_reach(queue, requests, keys, small).where(F.col("reach") > 0)
+    queue = materialized(_queue(orders, keys))
+    wanted = _with_reach(queue, requests, keys).where(F.col("reach") > 0)
     wanted = materialized(wanted.select(*side, "request_id", "reach"))
     width = wanted.groupBy(*side).agg(F.avg("reach").alias("_width"))
     cells = (
@@ -217,7 +207,6 @@ def execution_report(
     requests: DataFrame,
     latency: int = 0,
     keys: Sequence[str] = KEY,
-    limit: int | None = None,
 ) -> DataFrame:
     """Filled and remaining quantity, average price, slippage against the mid.
 
@@ -225,9 +214,8 @@ def execution_report(
     last order it reaches plus the part taken from that order.
     """
     side = [*keys, "side"]
-    small = fits(orders, side, limit) and fits(requests, side, limit)
-    queue = materialized(_queue(orders, keys, small))
-    reached = _with_reach(queue, requests, keys, small)
+    queue = materialized(_queue(orders, keys))
+    reached = _with_reach(queue, requests, keys)
     steps = queue.select(
         *keys,
         _opposite().alias("side"),
@@ -237,7 +225,7 @@ def execution_report(
         F.col("price").alias("_price"),
     )
     probes = reached.where(F.col("reach") > 0).select(*side, "reach").distinct()
-    last = last_step(steps, probes, side, "reach", ["_from", "_value", "_price"], True, small)
+    last = last_step(steps, probes, side, "reach", ["_from", "_value", "_price"], True)
     mids = top_of_book(orders, keys).select(*keys, "mid_price")
     zero = F.lit(0.0)
     notional = F.col("_value") + (F.col("reach") - F.col("_from")) * F.col("_price")

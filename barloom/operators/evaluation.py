@@ -73,10 +73,10 @@ def evaluate_signals(
     """Every signal at every horizon: `keys, signal, horizon, ic, n_obs, ...`.
 
     `scored` comes from a feature matrix without NULL targets, so each column is
-    ranked once for all pairs. With a regime label among the keys this is the
+    ranked once for all pairs; signals without a score are skipped. With a regime label among the keys this is the
     correlation by regime; over several horizons it is the decay curve.
     """
-    xs = [s.column for s in signals]
+    xs = [s.column for s in signals if s.column in scored.columns]
     ys = [target_column(h) for h in horizons]
     found = spearman_matrix(scored, keys, row, xs, ys, bounded).select(
         *keys,

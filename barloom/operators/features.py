@@ -75,18 +75,18 @@ CLOCK_SQL = {
 # A deviation below this share of the window's mean square is rounding noise.
 NOISE = 1e-13
 
-# Quantities summed over frames. Prices are measured from the block's level, volumes from the
-# first one, so that large volumes that vary little keep their digits.
+# Quantities summed over frames. Prices and volumes are measured from the block's level, ranges
+# from the first one, so that large ones that vary little keep their digits.
 TERMS = {
     "c1": "close - _level",
     "c2": "(close - _level) * (close - _level)",
     "r1": "log_return_1",
     "r2": "log_return_1 * log_return_1",
-    "v1": "volume - _vfirst",
-    "v2": "(volume - _vfirst) * (volume - _vfirst)",
+    "v1": "volume - _vlevel",
+    "v2": "(volume - _vlevel) * (volume - _vlevel)",
     "g0": "CASE WHEN _rng IS NOT NULL THEN 1D END",
-    "g1": "_rng",
-    "g2": "_rng * _rng",
+    "g1": "_rng - _gfirst",
+    "g2": "(_rng - _gfirst) * (_rng - _gfirst)",
     "h1": "ln(high / low) * ln(high / low)",
 }
 
@@ -153,14 +153,19 @@ def add_features(
     running sums restart every BLOCK rows, prices are taken relative to a price
     at the block's edge, and both keep the differences free of cancellation.
     """
-    names = list(FEATURES if keep is None else keep)
+    # A feature that does not exist is left out, and signals that need it are skipped.
+    names = [f for f in (FEATURES if keep is None else keep) if f in set(FEATURES)]
     wanted = set(names) | {d for f in names for d in BUILT_ON.get(f, [])}
     spans = [n for n in SPANS if f"ewma_vol_{n}" in wanted]
     frames = sorted({pair for f in wanted for pair in SUMS.get(f, [])})
     terms = {k: TERMS[k] for k in sorted({k for k, _ in frames})}
     for span in spans:
         terms |= _ewma_terms(span)
-    priced = any(k in terms for k in ("c1", "c2"))
+    levels = {
+        k: (column, level)
+        for k, column, level in (("c", "close", "_level"), ("v", "volume", "_vlevel"))
+        if f"{k}1" in terms
+    }
 
     keys = ", ".join(part)
     w = f"(PARTITION BY {keys} ORDER BY _blk, pos)"
@@ -185,30 +190,30 @@ def add_features(
         return f"lag({x}, {n}) OVER {w}"
 
     single = {"_row": f"row_number() OVER {w}", "log_return_1": f"_lc - {lagged('_lc', 1)}"}
-    if priced:
-        single["_first"] = f"first(close) OVER {w}"
-    if any(k in terms for k in ("v1", "v2")):
-        single["_vfirst"] = f"first(volume) OVER {w}"
+    for column, level in levels.values():
+        single[f"{level}_first"] = f"first({column}) OVER {w}"
+    if "g1" in terms:
+        single["_gfirst"] = f"first(_rng, true) OVER {w}"
     for n in LAGS:
         single[f"return_{n}"] = f"try_divide(close, {lagged('close', n)}) - 1"
         single[f"momentum_{n}"] = f"_lc - {lagged('_lc', n)}"
     single["volume_change_5"] = f"try_divide(volume, {lagged('volume', 5)}) - 1"
     if "volume_norm_return" in wanted:
         single["_ret1"] = f"try_divide(close, {lagged('close', 1)}) - 1"
-    helpers = {"_row", "_first", "_vfirst", "_ret1", "log_return_1"}
+    helpers = {"_row", "_level_first", "_vlevel_first", "_gfirst", "_ret1", "log_return_1"}
     single = {k: e for k, e in single.items() if k in wanted | helpers}
     for h in horizons:
         single[target_column(h)] = f"lead(_lc, {h}) OVER {w} - _lc"
     df = add(df, single)
 
-    if priced:
-        # The level of a block is the last close before it; `_level_before` is the
-        # level of the block before.
-        def edge(back: int) -> str:
-            frame = f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING"
-            return f"coalesce(max_by(close, pos) OVER ({by_block} {frame}), _first)"
+    # The level of a block is the last value before it; `_before` is the level of the
+    # block before.
+    def edge(column: str, level: str, back: int) -> str:
+        frame = f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING"
+        return f"coalesce(max_by({column}, pos) OVER ({by_block} {frame}), {level}_first)"
 
-        df = add(df, {"_level": edge(1), "_level_before": edge(2)})
+    for column, level in levels.values():
+        df = add(df, {level: edge(column, level, 1), f"{level}_before": edge(column, level, 2)})
     df = add(df, {f"_d{n}": f"pow({1.0 - 2.0 / (n + 1.0)!r}D, _j)" for n in spans})
     df = add(df, {f"_t_{k}": e for k, e in terms.items()})
     df = add(df, {f"_{k}": f"coalesce(sum(_t_{k}) OVER ({running}), 0D)" for k in terms})
@@ -221,12 +226,13 @@ def add_features(
     sums: dict[str, str] = {}
     for k, n in frames:
         rest = f"(CASE WHEN _j >= {n} THEN 0D ELSE _q_{k} END)"
-        sums[f"_{k}_{n}"] = f"_{k} + {rest} - _l{n}_{k}"
-        if k in ("c1", "c2"):
-            old, shift = f"greatest({n - 1} - _j, 0)", "(_level_before - _level)"
+        sums[f"_{k}_{n}"] = f"_{k} + ({rest} - _l{n}_{k})"
+        if k[0] in levels:
+            level = levels[k[0]][1]
+            old, shift = f"greatest({n - 1} - _j, 0)", f"({level}_before - {level})"
             moved = f"{old} * {shift}"
-            if k == "c2":
-                moved = f"2 * {shift} * (_q_c1 - _l{n}_c1) + {old} * {shift} * {shift}"
+            if k[1] == "2":
+                moved = f"2 * {shift} * (_q_{k[0]}1 - _l{n}_{k[0]}1) + {old} * {shift} * {shift}"
             sums[f"_{k}_{n}"] += f" + CASE WHEN _j >= {n - 1} THEN 0D ELSE {moved} END"
     for span in spans:
         sums |= _ewma_sums(span)
@@ -258,14 +264,14 @@ def add_features(
         "vol_change_10": f"realized_vol_10 - {lagged('realized_vol_10', 5)}",
         "parkinson_vol_20": once(20, f"sqrt(greatest(_h1_20, 0D) / 20 / {4 * math.log(2)!r}D)"),
         "volume_zscore_20": once(
-            20, f"try_divide(volume - _vfirst - _v1_20 / 20, {deviation('v', 20)})"
+            20, f"try_divide(volume - _vlevel - _v1_20 / 20, {deviation('v', 20)})"
         ),
-        "volume_norm_return": once(20, "try_divide(_ret1, _vfirst + _v1_20 / 20)"),
-        "activity_intensity_10": once(50, "try_divide(_vfirst + _v1_10 / 10, _vfirst + _v1_50 / 50)"),
+        "volume_norm_return": once(20, "try_divide(_ret1, _vlevel + _v1_20 / 20)"),
+        "activity_intensity_10": once(50, "try_divide(_vlevel + _v1_10 / 10, _vlevel + _v1_50 / 50)"),
         "close_loc_in_range": "(close - low) / _rng",
         "bar_range_pct": "_rng / close",
         "range_zscore_20": (
-            f"CASE WHEN _g0_20 = 20 THEN try_divide(_rng - _g1_20 / 20, {deviation('g', 20)}) END"
+            f"CASE WHEN _g0_20 = 20 THEN try_divide(_rng - _gfirst - _g1_20 / 20, {deviation('g', 20)}) END"
         ),
         **CLOCK_SQL,
     }

@@ -38,13 +38,11 @@ def last_step(
     at: str,
     payload: Sequence[str],
     strict: bool = False,
-    small: bool = False,
 ) -> DataFrame:
     """Add to each probe the payload of the last step with `at` <= (or <) its own.
 
-    Steps and probes share one sorted pass. If the groups are not known to be
-    `small`, the pass runs over pieces of `at`, and one row per piece is carried
-    on. Probes before every step get NULLs.
+    Steps and probes share one sorted pass over pieces of `at`, and one row per
+    piece is carried on. Probes before every step get NULLs.
     """
     types = dict(steps.dtypes)
     extra = [c for c in probes.columns if c not in {*keys, at}]
@@ -67,10 +65,6 @@ def last_step(
     def unpacked(hit: Column) -> list[Column]:
         return [*[F.col(c) for c in probes.columns], *[hit.getField(c).alias(c) for c in payload]]
 
-    if small:
-        w = Window.partitionBy(*keys).orderBy(at, "_order").rowsBetween(*so_far)
-        found = both.withColumn("_in", F.last("_step", True).over(w)).where(is_probe)
-        return found.select(*unpacked(F.col("_in")))
     both = both.join(cuts(steps, keys, at), list(keys), "left")
     both = both.withColumn("_piece", piece(at)).drop("_cuts")
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,16 +20,6 @@ CHUNK_ROWS = 65_536
 
 KEY = ("instrument",)
 
-# A group of at most this many rows may be sorted by one task.
-GROUP_LIMIT = 1_000_000
-
-
-def fits(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    """Whether no group exceeds the limit: one count per group, one number back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    return largest <= (GROUP_LIMIT if limit is None else limit)
-
 
 def with_position(
     bars: DataFrame,

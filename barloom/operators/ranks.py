@@ -1,11 +1,10 @@
 """Exact average ranks, rank correlation and percentiles.
 
-Two ways, chosen by the size of the groups:
+Two ways, as the caller knows its groups:
 
 * `bounded=True`: the group is a fold slice, at most train or test bars long by
-  configuration. Plain windows over the group. A stored whole series takes this
-  way too if its groups are measured to fit one task.
-* Otherwise equal values are counted first (so a value held by a third of all
+  configuration. Plain windows over the group.
+* Otherwise, for whole series of any size, equal values are counted first (so a value held by a third of all
   rows is one row), the distinct values of large groups are cut at approximate
   quantiles, and only a running sum over the pieces spans the group.
 """
@@ -18,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.lookup import cuts, piece
-from barloom.operators.positions import fits
 from barloom.session import materialized
 
 
@@ -56,13 +54,8 @@ def exact_percentile(
     value: str,
     fractions: Sequence[float],
     names: Sequence[str],
-    limit: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles, one row per group of any size."""
-    df = materialized(df.select(*keys, value))
-    if fits(df, keys, limit):
-        picks = [F.percentile(value, float(f)).alias(n) for f, n in zip(fractions, names)]
-        return df.groupBy(*keys).agg(*picks)
     ordered = _ordered_counts(df, keys, value)
     size = ordered.groupBy(*keys).agg(F.sum("n").alias("_size"))
     rows = ordered.join(size, list(keys))
@@ -104,16 +97,14 @@ def _ranked(
     row: Sequence[str],
     columns: Sequence[str],
     bounded: bool,
-    limit: int | None = None,
 ) -> DataFrame:
     out = df.select(*keys, *row, *columns)
-    if not bounded:
-        out = materialized(out)
-    if bounded or fits(out, keys, limit):
+    if bounded:
         # One window per step: each needs its own sort of the group.
         for c in columns:
             out = out.selectExpr("*", f"{average_rank_sql(c, keys)} AS _r_{c}")
         return out
+    out = materialized(out)
     cells = F.array(
         *[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns]
     )
@@ -136,7 +127,6 @@ def spearman_matrix(
     xs: Sequence[str],
     ys: Sequence[str],
     bounded: bool,
-    limit: int | None = None,
 ) -> DataFrame:
     """Rank correlation of every x with every y: `keys, x, y, rho, n_obs`.
 
@@ -144,7 +134,7 @@ def spearman_matrix(
     once rather than once per pair. A constant column gives NULL.
     """
     complete = df.dropna(subset=[*xs, *ys])
-    ranked = _ranked(complete, keys, row, [*xs, *ys], bounded, limit)
+    ranked = _ranked(complete, keys, row, [*xs, *ys], bounded)
     spread = [f"stddev_pop(_r_{c}) AS _sd_{c}" for c in dict.fromkeys([*xs, *ys])]
     joint = [f"covar_pop(_r_{x}, _r_{y}) AS _cov_{x}_{y}" for x in xs for y in ys]
     moments = ranked.groupBy(*keys).agg(

@@ -112,10 +112,12 @@ def combine_scores(
 ) -> DataFrame:
     """Weighted mean of the scores, 0 where no signal has weight.
 
-    `weights` has one row per slice with a `weight_<signal>` column each.
+    `weights` has one row per slice with a `weight_<signal>` column each; signals
+    without a score or a weight column count as having none.
     """
-    parts = {s.column: f"coalesce(weight_{s.name}, 0D)" for s in signals}
-    total = " + ".join(parts.values())
-    blended = " + ".join(f"{column} * {part}" for column, part in parts.items())
+    present = [s for s in signals if s.column in scored.columns and f"weight_{s.name}" in weights.columns]
+    parts = {s.column: f"coalesce(weight_{s.name}, 0D)" for s in present}
+    total = " + ".join(parts.values()) or "0D"
+    blended = " + ".join(f"{column} * {part}" for column, part in parts.items()) or "0D"
     combined = f"CASE WHEN {total} > 0 THEN ({blended}) / ({total}) ELSE 0D END AS combined_score"
     return scored.join(weights, list(keys), "left").selectExpr(*scored.columns, combined)

@@ -85,15 +85,14 @@ def test_split_books_equal_a_walk(spark, monkeypatch):
             left -= o.quantity
     orders = spark.createDataFrame(book)
     wanted = spark.createDataFrame(ask).withColumn("limit_price", F.nanvl("limit_price", F.lit(None)))
-    for limit in (None, 0):
-        got = {(f.request_id, f.order_id): f.fill_quantity for f in sweep(orders, wanted, limit=limit).collect()}
-        assert got == pytest.approx(want)
-        for r in execution_report(orders, wanted, limit=limit).collect():
-            mine = {o: f for (q, o), f in want.items() if q == r.request_id}
-            assert r.filled_quantity == pytest.approx(sum(mine.values()))
-            if mine:
-                value = sum(f * book.price[o] for o, f in mine.items())
-                assert r.average_price == pytest.approx(value / sum(mine.values()))
+    got = {(f.request_id, f.order_id): f.fill_quantity for f in sweep(orders, wanted).collect()}
+    assert got == pytest.approx(want)
+    for r in execution_report(orders, wanted).collect():
+        mine = {o: f for (q, o), f in want.items() if q == r.request_id}
+        assert r.filled_quantity == pytest.approx(sum(mine.values()))
+        if mine:
+            value = sum(f * book.price[o] for o, f in mine.items())
+            assert r.average_price == pytest.approx(value / sum(mine.values()))
 
 
 def test_regimes(bars):
