@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from barloom.llm.linking import across, link
 from barloom.session import materialized
 
-#: Characters of a shingle of the exact check, and of one of the signature.
-SHINGLE, SIGNED = 5, 9
+#: Characters of a shingle, of the signature and of the exact check.
+SHINGLE = 5
 #: Bands of a signature, and hashes of a band.
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 16, 4
+#: Lines of up to so many distinct shingles get all their partners, by prefixes.
+FEW = 24
 PERCENT = 75
 #: A table is broadcast up to so many bytes, measured; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Before the shingles of signatures: no letter, or one of Thai, Lao, Khmer and East Asian
-#: scripts, which put no spaces between words.
-_START = r"(?:(?<!\p{L})|(?<=[฀-໿ក-៿⺀-퟿豈-﫿]))"
 
 
 def shingles(line: Column) -> Column:
@@ -41,34 +40,64 @@ def _enough(x: Column, y: Column, percent: int) -> Column:
     return sizes & (F.size(F.array_intersect(x, y)) * (100 + percent) >= n * percent)
 
 
-def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds `bands`, the hashes of a one-permutation MinHash signature.
+def hashed(line: Column) -> Column:
+    """Sorted 64-bit hashes of all shingles, equal ones together."""
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.sort_array(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs), lambda x: F.xxhash64(x)))
+
 
-    The signature reads the SIGNED characters from each start of a word on (from every character
-    in scripts without spaces). Their hashes fall in BANDS ranges; each range that has any gives
-    a band, its ROWS smallest hashes, continued around the circle.
+def bands_of(hashes: Column) -> Column:
+    """The BANDS hashes of a one-permutation MinHash signature of sorted shingle hashes.
+
+    The hashes lie on a circle cut into BANDS * ROWS equal bins; each bin stands for the first
+    hash from its start on, be it in a later bin. So sets of Jaccard similarity J agree in a bin
+    with probability J however few hashes they have, and ROWS neighbouring bins are a band.
     """
-    found = F.regexp_extract_all(F.col(line), F.lit(_START + f"(?=(\\S.{{0,{SIGNED - 1}}}))"), F.lit(1))
-    hashes = F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
-    bits = 64 - (BANDS - 1).bit_length()
-
-    def bands(h: Column, ranges: Column, around: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(ranges, i) != F.get(ranges, i - 1))
-        )
-        return F.transform(starts, lambda i: F.xxhash64(F.get(ranges, i), F.slice(around, i + 1, ROWS)))
-
-    found_bands = _with(
-        hashes,
-        lambda h: F.when(
-            F.size(h) > 0,
-            _with(
-                F.transform(h, lambda x: F.shiftrightunsigned(x, bits)),
-                lambda r: _with(F.concat(h, F.slice(h, 1, ROWS - 1)), lambda c: bands(h, r, c)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")),
+    bins = BANDS * ROWS
+    bits = 64 - (bins - 1).bit_length()
+
+    def signature(h: Column, at: Column) -> Column:
+        # Hashes that are the first of their bin stand for the empty bins before it, too.
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1)))
+        before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(at, i - 1))
+        runs = F.transform(starts, lambda i: F.array_repeat(F.get(h, i), F.get(at, i) - before(i)))
+        tail = F.array_repeat(F.get(h, F.lit(0)), F.lit(bins - 1) - F.element_at(at, -1))
+        return F.concat(F.flatten(runs), tail)
+
+    # Half of the hashes are negative: bins ascend as the sorted hashes do.
+    places = F.transform(hashes, lambda x: F.shiftright(x, bits).cast("int") + bins // 2)
+    found = _with(places, lambda at: signature(hashes, at))
+    cut = lambda g: F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda t: F.xxhash64(t, F.slice(g, t * ROWS + 1, ROWS))
     )
-    return lines.withColumn("bands", found_bands)
+    return _with(found, cut)
+
+
+def signed(line: Column, percent: int = PERCENT) -> Column:
+    """The struct of a line's `bands`, and of its shingles in `few` if prefixes are to be looked at.
+
+    A line of at most FEW shingles has no bands; those that can be like one have both.
+    """
+
+    def parts(d: Column) -> Column:
+        bands = F.when(F.size(d) > FEW, bands_of(d)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(bands.alias("bands"), F.when(F.size(d) * percent <= FEW * 100, d).alias("few"))
+
+    return _with(F.array_distinct(hashed(line)), parts)
+
+
+def prefixes(few: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, band) of sets (key, few): any two that are similar share a band.
+
+    They share all but so few shingles that one is among the first n - ceil(n * percent / 100) + 1
+    of each, in any common order; rare shingles come first.
+    """
+    each = few.select("key", F.explode("few").alias("band")).distinct()
+    counts = each.groupBy("band").agg(F.count("*").alias("n"))
+    ordered = each.join(counts, "band").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("all"))
+    n = F.size("all")
+    first = F.slice("all.band", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return ordered.select("key", F.explode(first).alias("band"))
 
 
 def _with(value: Column, body) -> Column:
@@ -84,10 +113,12 @@ def sized(df: DataFrame, width: int) -> DataFrame:
 def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, component) of the distinct lines (key, line) that are like another one.
 
-    Lines of one bucket, those with equal bands, are compared. Buckets are never cut.
+    Lines of one bucket, those with equal bands or a rare shingle in common, are compared. Buckets
+    are never cut.
     """
-    # Outer, as Spark would compute the bands of a plain explode twice, to drop empty ones first.
-    banded = with_bands(lines).select("key", F.explode_outer("bands").alias("band")).where("band is not null").repartition("band")
+    marks = materialized(lines.select("key", signed(F.col("line"), percent).alias("s"))).select("key", "s.*")
+    near = prefixes(marks.where("few is not null").select("key", "few"), percent)
+    banded = marks.select("key", F.explode("bands").alias("band")).unionByName(near).repartition("band")
     ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band")
     members = materialized(banded.join(ends, "band").select(F.col("band").alias("list"), F.col("key").alias("node")).distinct())
     keys = sized(materialized(members.select(F.col("node").alias("key")).distinct()), 16)
@@ -101,8 +132,7 @@ def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     def rest(open_: DataFrame) -> DataFrame:
         # Many lines may share a passage and be unlike: the check stands in the join itself, so
         # that only like pairs leave it. It compares 64-bit hashes of the shingles.
-        hashed = F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))
-        sets = texts.select(F.col("key").alias("node"), hashed.alias("s"))
+        sets = texts.select(F.col("key").alias("node"), F.array_distinct(hashed(F.col("line"))).alias("s"))
         return across(materialized(open_.join(sets, "node")), _enough(F.col("x.s"), F.col("y.s"), percent))
 
     return link(members, linked, [], rest).withColumnRenamed("node", "key")

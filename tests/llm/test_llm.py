@@ -232,6 +232,22 @@ def test_lines_like_brute_force(spark):
     assert lines.dedup_lines(docs).count() == len(rows) and lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_with_one_edit_are_found(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = ["subscribe to newsletter now", "subscribe to newsletter now!", "hello world", "hello worlds"]
+    for n in [2, 3, 4, 5, 6, 8, 12, 20] * 25:
+        line = " ".join(rng.choice(words) for _ in range(n))
+        at = rng.randrange(len(line))
+        texts += [line, (line[:at] + "q" + line[at + 1 :]).strip()]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    like = [(i, i + 1) for i in range(0, len(texts), 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])]
+    assert like[:2] == [(0, 1), (2, 3)] and len(like) > 100
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, line string")
+    found = {r.key: r.component for r in lines.line_classes(table).collect()}
+    assert [p for p in like if p[0] not in found or found[p[0]] != found.get(p[1])] == []
+
+
 def test_main_text(spark):
     def page(i):
         body = "".join(f"<p>Sentence {k} of page {i} has several words. It goes on.</p>" for k in range(4))
