@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from barloom.sources.naming import normalized_header
 from barloom.sources.schema import header_test
 
-# Separators tried, and the lines judged when choosing one.
+# Separators tried.
 SEPARATORS = {"comma": ",", "semicolon": ";", "tab": "\t", "space": r"\s+"}
-SAMPLE_LINES = 100
 HEADER_BONUS = 20.0
 MIN_FIELDS = 3
 
@@ -92,8 +91,7 @@ def separator_quality(profile: DataFrame) -> DataFrame:
 def choose_layout(lines: DataFrame) -> Layout:
     """Separator and header of a text whose first line is its earliest."""
     text = _nonblank(lines)
-    head = text.orderBy("block", "line").limit(SAMPLE_LINES)
-    first = head.limit(1).first()
+    first = text.orderBy("block", "line").first()
     if first is None:
         raise LayoutError("the text holds no lines")
     marks = {
@@ -102,7 +100,7 @@ def choose_layout(lines: DataFrame) -> Layout:
     }
     spark = lines.sparkSession
     headed = spark.range(1).select(*[header_test(m).alias(n) for n, m in marks.items()]).first()
-    quality = separator_quality(field_profile(head)).collect()  # one row per separator
+    quality = separator_quality(field_profile(text)).collect()  # one row per separator
     scored = []
     for q in quality:
         if q["fields"] >= 2:
@@ -112,7 +110,7 @@ def choose_layout(lines: DataFrame) -> Layout:
     if not scored:
         raise LayoutError("the text is not consistently delimited")
     _, _, separator, name = max(scored)
-    whole = {q["separator"]: q for q in separator_quality(field_profile(text)).collect()}[name]
+    whole = next(q for q in quality if q["separator"] == name)
     if whole["deviating_lines"]:
         raise LayoutError(
             f"{whole['deviating_lines']} line(s) do not have {whole['fields']} fields"

@@ -15,7 +15,7 @@ from barloom.plans.backtest import Research, regime_evidence
 from barloom.plans.ingest import ingest, ingest_directory
 from barloom.plans.research import load_bars, research_summary, run_research, run_settings
 from barloom.sources import tables
-from barloom.sources.delimited import LayoutError, read_lines
+from barloom.sources.delimited import LayoutError, choose_layout, read_lines
 from barloom.sources.ranges import coverage, research_range
 from barloom.sources.schema import SchemaError, looks_like_header, map_headers, tick_layout
 
@@ -182,6 +182,24 @@ def test_layouts_keep_every_row(spark, options):
     assert (got.high >= got.low).all() and (got.volume > 100).all()
 
 
+def test_an_odd_head_decides_nothing(spark):
+    day = pd.date_range("2024-01-01", periods=2500, freq="h")
+    flat = [f"{t:%Y-%m-%d %H:%M},1.5,1.5,1.5,1.5" for t in day[:2100]]
+    # Close, low, open, high; each bar opens at the close before.
+    moved = [f"{t:%Y-%m-%d %H:%M},{2 + k % 7 + 1},{1 + k % 7},{2 + (k - 1) % 7 + 1},{12 + k % 7}" for k, t in enumerate(day[2100:])]
+    last = ingest(lines_of(spark, flat + moved), "A").bars.orderBy(F.col("ts").desc()).first()
+    cells = [float(x) for x in moved[-1].split(",")[1:]]
+    assert [last.close, last.low, last.open, last.high] == cells
+
+    rows = ["When,Open,High,Low,Close"] + [f"{'' if k < 60 else t.strftime('%Y-%m-%d %H:%M')},2,3,1,2" for k, t in enumerate(day[:1000])]
+    found = ingest(lines_of(spark, rows), "A")
+    assert found.mapping.columns["timestamp"] == "When" and found.bars.count() == 940
+
+    rows = [f"{t:%Y-%m-%d},5;1,5;2,5;1,5;2,5;9,5" for t in day[:100]] + [f"{t:%Y-%m-%d},5;1;2;1;2,5;9" for t in day[100:]]
+    layout = choose_layout(lines_of(spark, rows))
+    assert (layout.separator, layout.fields) == (";", 6)
+
+
 def test_four_defects_are_counted(spark):
     rows = table()
     cells = [r.split(",") for r in rows]
