@@ -35,6 +35,11 @@ def profile_query(spark: SparkSession, sf: str) -> DataFrame:
     return field_profile(document_lines(spark, sf).where(~F.col("value").contains('"')))
 
 
+def whole_profile_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of all lines; those with quotes have no SQL, but a test."""
+    return field_profile(document_lines(spark, sf))
+
+
 PROFILE_ORACLE = r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents),
 n AS (SELECT value FROM l WHERE trim(value) <> '' AND NOT contains(value, '"'))
 SELECT 'comma' AS separator, CAST(len(string_split(value, ',')) AS INTEGER) AS fields, count(*) AS n_lines FROM n GROUP BY ALL
@@ -359,6 +364,7 @@ FINGERPRINT_ORACLE = f"""WITH {TICKS}, {bars_sql("1h")} SELECT count(*) AS n_row
 
 QUERIES = {
     "field_profile": (profile_query, PROFILE_ORACLE),
+    "field_profile_whole": (whole_profile_query, None),
     "separator_quality": (quality_query, QUALITY_ORACLE),
     "header_test": (header_query, HEADER_ORACLE),
     "parse_columns": (parse_query, PARSE_ORACLE),

@@ -54,7 +54,8 @@ def fields_of(value: str | Column, separator: str) -> Column:
     if separator == SEPARATORS["space"]:
         return F.split(F.trim(v), r"\s+")
     # In a line with quotes a separator splits only with an even number of them after it.
-    parts = F.split(v, rf'{separator}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    # Possessive, as the plain form takes a stack frame for each pair of quotes.
+    parts = F.split(v, rf'{separator}(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)', -1)
     unquoted = F.transform(parts, lambda p: F.regexp_replace(p, r'^"(.*)"$', "$1"))
     return F.when(v.contains('"'), unquoted).otherwise(F.split(v, separator, -1))
 

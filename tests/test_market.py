@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.catalogue.text import QUERIES
 from barloom.operators import lookup
 from barloom.operators.book import depth_at, execution_report, sweep, top_of_book
 from barloom.operators.folds import FoldPlan, assign_folds
@@ -182,6 +183,22 @@ def test_layouts_keep_every_row(spark, options):
     assert (got.high >= got.low).all() and (got.volume > 100).all()
 
 
+def test_the_whole_profile_splits_quoted_lines(spark, tmp_path):
+    texts = ['a,"b,c",d\n"x;y";z\n\nplain, line', 'say "a, b" and, "c\n"",,"', '"a,",' * 20000 + "end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for line in "\n".join(texts).split("\n"):
+        if line.strip(" "):
+            for name, mark in (("comma", ","), ("semicolon", ";"), ("tab", "\t")):
+                pieces = line.split('"')[::-1]  # every other one, from the end, is outside quotes
+                n = 1 + sum(p.count(mark) for p in pieces[::2])
+                want[name, n] = want.get((name, n), 0) + 1
+            n = len(line.split())
+            want["space", n] = want.get(("space", n), 0) + 1
+    got = {(r.separator, r.fields): r.n_lines for r in QUERIES["field_profile_whole"][0](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_an_odd_head_decides_nothing(spark):
     day = pd.date_range("2024-01-01", periods=2500, freq="h")
     flat = [f"{t:%Y-%m-%d %H:%M},1.5,1.5,1.5,1.5" for t in day[:2100]]
