@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,7 @@ from barloom.catalogue.common import (
     rounded,
     with_p_sql,
 )
-from barloom.catalogue.market import PASSES, em_sql, posterior_sql
+from barloom.catalogue.market import ALL_PASSES, PASSES, em_sql, posterior_sql
 from barloom.catalogue.text import ONE_SERIES, one_series
 from barloom.catalogue.walk import RUN, TEST_SQL
 from barloom.operators.folds import assign_folds
@@ -29,11 +30,11 @@ from barloom.sources.tables import load_dataset, register_dataset
 PLAN, TAIL = RUN.plan, RUN.tail
 
 
-def regime_query(spark: SparkSession, sf: str) -> DataFrame:
+def regime_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
     """Test-slice correlation of every signal within the regimes of the train fit."""
     bars = placed_bars(spark, sf)
     train, test = (assign_folds(bars, PLAN, TAIL, [role]).drop("role") for role in ("train", "test"))
-    labels = materialized(causal_regimes(train, test, SLICE, iterations=PASSES).drop("probabilities"))
+    labels = materialized(causal_regimes(train, test, SLICE, iterations=passes).drop("probabilities"))
     return rounded(regime_evidence(bars, RUN, labels), 6)
 
 
@@ -69,5 +70,6 @@ SELECT instrument, ts, {", ".join(r(c) for c in ("open", "high", "low", "close",
 
 QUERIES = {
     "ic_by_regime": (regime_query, REGIME_ORACLE),
+    "ic_by_regime_full": (partial(regime_query, passes=ALL_PASSES), None),
     "stored_bars": (stored_query, STORED_ORACLE),
 }

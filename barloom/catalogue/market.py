@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import partial
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from barloom.catalogue.common import (
     ticks,
 )
 from barloom.operators import book, quality
-from barloom.operators.features import feature_matrix
+from barloom.operators.features import FEATURES, feature_matrix
 from barloom.operators.folds import FoldPlan, assign_folds
 from barloom.operators.ladder import NAIVE, ladder_errors, predict_ladder
 from barloom.operators.regimes import apply_regimes, causal_regimes, current_regime, fit_regimes, series_inputs
@@ -329,7 +331,8 @@ FROM q LEFT JOIN t USING (request_id) LEFT JOIN b ON q.instrument = b.instrument
 
 # --- regimes -------------------------------------------------------------------
 
-PASSES = 6
+#: Passes of the queries with SQL, and of those without: the operators' default.
+PASSES, ALL_PASSES = 6, signature(fit_regimes).parameters["iterations"].default
 PLAN = FoldPlan(train=300, test=100, step=100, embargo=10)
 
 
@@ -388,9 +391,9 @@ def inputs_query(spark: SparkSession, sf: str) -> DataFrame:
 INPUTS_ORACLE = f"""WITH {INPUTS_SQL} SELECT instrument, ts, pos, {r("ret")}, {r("vol")}, {r("trend")} FROM x"""
 
 
-def components_query(spark: SparkSession, sf: str) -> DataFrame:
+def components_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
     """Named components of each instrument's mixture after a fixed number of passes."""
-    fitted = fit_regimes(series_inputs(placed_bars(spark, sf)), ["instrument"], iterations=PASSES)
+    fitted = fit_regimes(series_inputs(placed_bars(spark, sf)), ["instrument"], iterations=passes)
     return rounded(
         fitted.select("instrument", F.inline("components")).select(
             "instrument", "component", "name", "vol", "trend"
@@ -403,9 +406,9 @@ COMPONENTS_ORACLE = f"""WITH {INPUTS_SQL}, {em_sql("x", "instrument")}
 SELECT instrument, CAST(c AS INTEGER) AS component, name, {r("vol", digits=6)}, {r("trend", digits=6)} FROM em_n"""
 
 
-def labels_query(spark: SparkSession, sf: str) -> DataFrame:
+def labels_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
     inputs = materialized(series_inputs(placed_bars(spark, sf)))
-    fitted = fit_regimes(inputs, ["instrument"], iterations=PASSES)
+    fitted = fit_regimes(inputs, ["instrument"], iterations=passes)
     labelled = apply_regimes(inputs, fitted, ["instrument"])
     best = F.array_max(F.map_values("probabilities"))
     return rounded(labelled.select("instrument", "ts", "component", "regime", best.alias("probability")), 5)
@@ -417,12 +420,12 @@ SELECT b.instrument, x.ts, CAST(b.c AS INTEGER) AS component, n.name AS regime,
 FROM b JOIN x ON b.instrument = x.instrument AND b.pos = x.pos JOIN em_n n ON b.instrument = n.instrument AND b.c = n.c"""
 
 
-def causal_query(spark: SparkSession, sf: str) -> DataFrame:
+def causal_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
     """Mixtures fitted on every train slice, labelling every test slice."""
     bars = placed_bars(spark, sf)
     keys = ["instrument", "fold_id"]
     slices = {role: assign_folds(bars, PLAN, 20, roles=[role]).drop("role") for role in ("train", "test")}
-    labelled = causal_regimes(slices["train"], slices["test"], keys, iterations=PASSES)
+    labelled = causal_regimes(slices["train"], slices["test"], keys, iterations=passes)
     best = F.array_max(F.map_values("probabilities"))
     return rounded(labelled.select(*keys, "ts", "component", "regime", best.alias("probability"), "causal"), 5)
 
@@ -440,9 +443,9 @@ SELECT b.instrument, b.fold_id, y.ts, CAST(b.c AS INTEGER) AS component, n.name
 FROM b JOIN y USING (instrument, fold_id, pos) JOIN em_n n ON b.instrument = n.instrument AND b.fold_id = n.fold_id AND b.c = n.c"""
 
 
-def current_query(spark: SparkSession, sf: str) -> DataFrame:
+def current_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
     inputs = materialized(series_inputs(placed_bars(spark, sf)))
-    labelled = apply_regimes(inputs, fit_regimes(inputs, ["instrument"], iterations=PASSES), ["instrument"])
+    labelled = apply_regimes(inputs, fit_regimes(inputs, ["instrument"], iterations=passes), ["instrument"])
     return current_regime(labelled).select("instrument", "ts", "regime")
 
 
@@ -480,11 +483,15 @@ FROM m, c WHERE pos / n_bars >= 0.6 AND pos - floor(n_bars * 0.6) >= 10"""
 
 
 def trees_query(spark: SparkSession, sf: str) -> DataFrame:
-    """All rungs on six features; tree ensembles have no SQL counterpart."""
-    features = ["zscore_20", "zscore_50", "momentum_5", "momentum_20", "realized_vol_20", "close_loc_in_range"]
+    """All rungs; tree ensembles have no SQL counterpart.
+
+    All features but range_zscore_20, which has no value in nearly all of these bars, so that
+    their rows would go.
+    """
+    features = [f for f in FEATURES if f != "range_zscore_20"]
     train, test = _halves(spark, sf, features)
     rungs = [NAIVE, "linear_regression", "random_forest", "gradient_boosting"]
-    predicted = predict_ladder(train, test, features, TARGET, rungs, trees=20, rounds=10)
+    predicted = predict_ladder(train, test, features, TARGET, rungs)
     return rounded(ladder_errors(predicted, TARGET, rungs), 6)
 
 
@@ -510,6 +517,10 @@ QUERIES = {
     "regime_labels": (labels_query, LABELS_ORACLE),
     "causal_regimes": (causal_query, CAUSAL_ORACLE),
     "current_regime": (current_query, CURRENT_ORACLE),
+    "regime_components_full": (partial(components_query, passes=ALL_PASSES), None),
+    "regime_labels_full": (partial(labels_query, passes=ALL_PASSES), None),
+    "causal_regimes_full": (partial(causal_query, passes=ALL_PASSES), None),
+    "current_regime_full": (partial(current_query, passes=ALL_PASSES), None),
     "linear_model": (linear_query, LINEAR_ORACLE),
     "model_ladder": (trees_query, None),
 }
