@@ -1,6 +1,6 @@
 """Queries of this package: name -> (Spark callable, SQL for the same rows or None)."""
 
-from barloom.llm import chat, html, jaccard, langid, lines, mixing, tiling, tokens, urls, vectors
+from barloom.llm import chat, html, jaccard, langid, lines, mixing, repair, tiling, tokens, urls, vectors
 
 QUERIES = {
     "op1_vectors": (vectors.op1_vectors, vectors.SQL_VECTORS),
@@ -13,4 +13,5 @@ QUERIES = {
     "op8_html": (html.op8_html, None),
     "op9_jaccard": (jaccard.op9_jaccard, jaccard.SQL_JACCARD),
     "op10_mixing": (mixing.op10_mixing, mixing.SQL_MIX),
+    "op13_repair": (repair.op13_repair, repair.SQL_REPAIR),
 }
