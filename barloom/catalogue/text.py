@@ -16,7 +16,7 @@ from barloom.plans.ingest import ingest
 from barloom.plans.research import load_bars
 from barloom.session import materialized
 from barloom.sources import naming, ranges
-from barloom.sources.delimited import field_profile, fields_of, separator_quality
+from barloom.sources.delimited import field_profile, separator_quality
 from barloom.sources.parsing import choose_readings, joined_date_time
 from barloom.sources.schema import ALIASES, header_test
 from barloom.sources.tables import fingerprint
@@ -32,19 +32,19 @@ def document_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profile_query(spark: SparkSession, sf: str) -> DataFrame:
-    return field_profile(document_lines(spark, sf).where(~F.col("value").contains('"')))
+    return field_profile(document_lines(spark, sf))
 
 
-def whole_profile_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The profile of all lines; those with quotes have no SQL, but a test."""
-    return field_profile(document_lines(spark, sf))
+def _sql_fields(mark: str) -> str:
+    quoted = f"""regexp_replace(value, '(^|{mark})"[^"]*(""[^"]*)*("|$)', '\\1', 'g')"""
+    return f"CAST(len(string_split({quoted}, '{mark}')) AS INTEGER)"
 
 
-PROFILE_ORACLE = r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents),
-n AS (SELECT value FROM l WHERE trim(value) <> '' AND NOT contains(value, '"'))
-SELECT 'comma' AS separator, CAST(len(string_split(value, ',')) AS INTEGER) AS fields, count(*) AS n_lines FROM n GROUP BY ALL
-UNION ALL SELECT 'semicolon', CAST(len(string_split(value, ';')) AS INTEGER), count(*) FROM n GROUP BY ALL
-UNION ALL SELECT 'tab', CAST(len(string_split(value, chr(9))) AS INTEGER), count(*) FROM n GROUP BY ALL
+PROFILE_ORACLE = rf"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents),
+n AS (SELECT value FROM l WHERE trim(value) <> '')
+SELECT 'comma' AS separator, {_sql_fields(",")} AS fields, count(*) AS n_lines FROM n GROUP BY ALL
+UNION ALL SELECT 'semicolon', {_sql_fields(";")}, count(*) FROM n GROUP BY ALL
+UNION ALL SELECT 'tab', {_sql_fields(chr(9))}, count(*) FROM n GROUP BY ALL
 UNION ALL SELECT 'space', CAST(len(regexp_split_to_array(regexp_replace(value, '^\s+|\s+$', '', 'g'), '\s+')) AS INTEGER), count(*) FROM n GROUP BY ALL"""
 
 
@@ -64,11 +64,11 @@ UNION ALL SELECT 'semicolon', 3, round((n - x) / n, 8), x FROM e"""
 
 
 def header_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a document's first line would pass for a header, and an event's keys."""
+    """Whether a document's first line would pass for a header."""
     first = table(spark, sf, "documents").select(
         "doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("value")
     )
-    marks = F.transform(fields_of("value", r"\s+"), naming.normalized_header)
+    marks = F.transform(F.split(F.trim("value"), r"\s+"), naming.normalized_header)
     return first.select("doc_id", header_test(marks).alias("header"))
 
 
@@ -364,7 +364,7 @@ FINGERPRINT_ORACLE = f"""WITH {TICKS}, {bars_sql("1h")} SELECT count(*) AS n_row
 
 QUERIES = {
     "field_profile": (profile_query, PROFILE_ORACLE),
-    "field_profile_whole": (whole_profile_query, None),
+    "field_profile_whole": (profile_query, PROFILE_ORACLE),
     "separator_quality": (quality_query, QUALITY_ORACLE),
     "header_test": (header_query, HEADER_ORACLE),
     "parse_columns": (parse_query, PARSE_ORACLE),

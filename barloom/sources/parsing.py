@@ -1,7 +1,8 @@
-"""Text to timestamps and numbers. One reading is chosen per column, not per row.
+"""Text to timestamps and numbers.
 
-Shares of readable values over the whole column come from one aggregate; the
-driver sees those few numbers and picks the expression.
+Timestamps are recognized row by row. Of numbers one spelling is chosen per column: shares of
+readable values over the whole column come from one aggregate; the driver sees those few numbers
+and picks the expression.
 """
 
 from __future__ import annotations
@@ -12,14 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_col
+from barloom.sources.timestamps import recognized
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-TOLERANCE = 0.05
 COMMA_RETRY = 0.3
 
-# Layouts without punctuation, in order of trial.
-COMPACT = ("yyyyMMdd HHmmss", "yyyyMMdd HHmm", "yyyyMMddHHmmss", "yyyyMMddHHmm")
-
 
 def number(text: str | Column) -> Column:
     """Plain decimal number, else NULL."""
@@ -31,80 +29,10 @@ def comma_number(text: str | Column) -> Column:
     return number(F.replace(as_col(text), F.lit(","), F.lit(".")))
 
 
-def iso_time(text: str | Column) -> Column:
-    """ISO 8601 date or date-time; offsets are applied, otherwise UTC."""
-    x = F.trim(as_col(text))
-    dashed = x.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$")
-    # The cast wants a colon in the offset.
-    spelled = F.regexp_replace(x, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    compact = F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))
-    dated = F.when(x.rlike(r"^\d{8}$"), compact).when(
-        dashed, F.when(F.length(x) > 19, spelled).otherwise(x)
-    )
-    return dated.try_cast("timestamp")
-
-
-DAY_FIRST = (
-    r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?)?"
-    r"\s*(?:GMT)?([+-]\d{2}:?\d{2})?$"
-)
-YEAR_FIRST = r"^(\d{4})[./](\d{1,2})[./](\d{1,2})(.*)$"
-
-
-def day_first_time(text: str | Column) -> Column:
-    """Day before month unless only the other order is a date; ISO is accepted too."""
-    x = F.trim(as_col(text))
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(x, DAY_FIRST, i)
-
-    def two(c: Column) -> Column:
-        return F.lpad(c, 2, "0")
-
-    first, second = part(1), part(2)
-    swapped = (second.try_cast("int") > 12) & (first.try_cast("int") <= 12)
-    day = F.when(swapped, second).otherwise(first)
-    month = F.when(swapped, first).otherwise(second)
-    seconds = F.when(part(6) == "", "00").otherwise(part(6))
-    clock = F.when(part(4) == "", "00:00:00").otherwise(
-        F.concat(two(part(4)), F.lit(":"), part(5), F.lit(":"), seconds)
-    )
-    spelled = F.concat(part(3), F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), clock, part(7))
-    year_first = F.regexp_replace(x, YEAR_FIRST, "$1-$2-$3$4")
-    return (
-        F.when(x.rlike(DAY_FIRST), spelled.try_cast("timestamp"))
-        .when(x.rlike(YEAR_FIRST), year_first.try_cast("timestamp"))
-        .otherwise(iso_time(x))
-    )
-
-
-def compact_time(text: str | Column, layout: str) -> Column:
-    x = F.regexp_replace(F.trim(as_col(text)), r"\.0$", "")
-    return F.when(F.length(x) == len(layout), F.try_to_timestamp(x, F.lit(layout)))
-
-
-def time_readings(text: str | Column) -> list[Column]:
-    return [iso_time(text), day_first_time(text), *[compact_time(text, f) for f in COMPACT]]
-
-
 def share(known: Column) -> Column:
     return F.avg(F.when(known.isNotNull(), 1.0).otherwise(0.0))
 
 
-def _pick_time(shares: Sequence[float]) -> int:
-    """Index of the reading: the next one only while more than 5 % stay unread."""
-    chosen = 0
-    if 1 - shares[0] > TOLERANCE:
-        chosen = 1
-        if 1 - shares[1] > TOLERANCE:
-            for i in range(2, len(shares)):
-                if shares[i] > shares[chosen]:
-                    chosen = i
-                if 1 - shares[chosen] <= TOLERANCE:
-                    break
-    return chosen
-
-
 def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict[str, float]:
     """Shares of readable, non-negative and whole values per reading, in one pass.
 
@@ -122,9 +50,7 @@ def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict
             for c in dict.fromkeys([*times, *numbers])
         ]
     )
-    wanted = [
-        share(F.when(F.col("as_time"), e)).alias(f"t{i}") for i, e in enumerate(time_readings("text"))
-    ]
+    wanted = [share(F.when(F.col("as_time"), recognized("text"))).alias("t")]
     for kind, e in (("n", number("text")), ("c", comma_number("text"))):
         v = F.when(F.col("as_number"), e)
         whole = F.abs(v - F.round(v)) < 1e-9
@@ -134,20 +60,15 @@ def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict
             F.avg(F.when(v.isNotNull(), whole.cast("double"))).alias(f"{kind}i"),
         ]
     rows = df.select(F.inline(cells)).groupBy("column").agg(*wanted).collect()
-    names = [*[f"t{i}" for i in range(2 + len(COMPACT))], "n", "n+", "ni", "c", "c+", "ci"]
+    names = ["t", "n", "n+", "ni", "c", "c+", "ci"]
     found = {f"{r['column']}#{k}": r[k] or 0.0 for r in rows for k in names}
     listed = dict.fromkeys([*times, *numbers])
     return {f"{c}#{k}": found.get(f"{c}#{k}", 0.0) for c in listed for k in names}
 
 
 def time_reading(measured: dict[str, float], column: str) -> tuple[Column, float]:
-    """Chosen reading of a time column and its share."""
-    readings = time_readings(column)
-    seen = [measured[f"{column}#t{i}"] for i in range(len(readings))]
-    pick = _pick_time(seen)
-    if seen[pick] == 0:
-        raise ValueError(f"no timestamp could be read from column {column!r}")
-    return readings[pick].cast("timestamp_ntz"), seen[pick]
+    """Reading of a time column and the share of its rows that have one."""
+    return recognized(column), measured[f"{column}#t"]
 
 
 def _number_kind(measured: dict[str, float], column: str) -> str:

@@ -1,5 +1,7 @@
 """Order book, regimes, quality, ingest, stores and the whole run."""
 
+import csv
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -218,19 +220,19 @@ def test_layouts_keep_every_row(spark, options):
     assert (got.high >= got.low).all() and (got.volume > 100).all()
 
 
-def test_the_whole_profile_splits_quoted_lines(spark, tmp_path):
-    texts = ['a,"b,c",d\n"x;y";z\n\nplain, line', 'say "a, b" and, "c\n"",,"', '"a,",' * 20000 + "end"]
+def test_the_profile_counts_fields_as_csv_does(spark, tmp_path):
+    """A quote opens a field only at its start, and a doubled one inside stays inside."""
+    texts = ['a,"b,c",d\n"x;y";z\n\nplain, line', 'say "a, b" and, "c\n"",,"', '"a,",' * 20000 + "end", 'a,"b ""q,"" c",d', '"open, end']
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {}
     for line in "\n".join(texts).split("\n"):
         if line.strip(" "):
             for name, mark in (("comma", ","), ("semicolon", ";"), ("tab", "\t")):
-                pieces = line.split('"')[::-1]  # every other one, from the end, is outside quotes
-                n = 1 + sum(p.count(mark) for p in pieces[::2])
+                n = len(next(csv.reader([line], delimiter=mark)))
                 want[name, n] = want.get((name, n), 0) + 1
             n = len(line.split())
             want["space", n] = want.get(("space", n), 0) + 1
-    got = {(r.separator, r.fields): r.n_lines for r in QUERIES["field_profile_whole"][0](spark, str(tmp_path)).collect()}
+    got = {(r.separator, r.fields): r.n_lines for r in QUERIES["field_profile"][0](spark, str(tmp_path)).collect()}
     assert got == want
 
 
