@@ -70,6 +70,11 @@ def _own_folder() -> str:
     return folder.name
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/barloom-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read, and read it back.
 
@@ -77,6 +82,6 @@ def materialized(df: DataFrame) -> DataFrame:
     planner knows the real size. The files live in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/barloom-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

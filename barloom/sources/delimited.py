@@ -7,11 +7,12 @@ Records are read by Spark's CSV reader.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_col
@@ -150,35 +151,20 @@ def choose_layout(lines: DataFrame) -> Layout:
     plain = Layout(SEPARATORS[found["separator"]], found["fields"], None)
     if not found["headed"]:
         return plain
-    cells = lines.sparkSession.range(1).select(_cells(F.lit(found["first"]), plain).alias("f")).first()["f"]
-    return Layout(plain.separator, plain.fields, tuple(cells))
+    return by_layout([Row(file="", **found.asDict())])[0][0]
 
 
-def _cells(value: Column, layout: Layout) -> Column:
-    """The trimmed fields of a line as an array."""
-    if layout.separator == SEPARATORS["space"]:
-        return F.split(F.trim(value), layout.separator)
-    read = F.from_csv(value, layout.schema, layout.options)
-    return F.array(*[F.coalesce(F.trim(read[f"f{i}"]), F.lit("")) for i in range(layout.fields)])
-
-
-def header_cells(layouts_: DataFrame) -> list[tuple[Layout, dict]]:
-    """The different layouts of a table like that of `layouts` with a column `file`.
-
-    Each comes with its files and whether quotes stay open on a line of one. The driver sees the
-    list of files, as the reader of a directory does, and one entry per layout.
-    """
+def by_layout(files: Sequence[Row]) -> list[tuple[Layout, list[Row]]]:
+    """The different layouts of files, rows like those of `layouts` with a column `file`."""
     out: dict = {}
-    shapes = layouts_.select("separator", "fields").distinct().collect()  # few
-    for shape in shapes:
-        plain = Layout(SEPARATORS[shape["separator"]], shape["fields"], None)
-        same = layouts_.where((F.col("separator") == shape["separator"]) & (F.col("fields") == shape["fields"]))
-        for row in same.select("file", "open", F.when(F.col("headed"), _cells(F.col("first"), plain)).alias("cells")).collect():
-            layout = Layout(plain.separator, plain.fields, tuple(row["cells"]) if row["cells"] else None)
-            entry = out.setdefault(layout, {"files": [], "open": False})
-            entry["files"].append(row["file"])
-            entry["open"] |= row["open"]
-    return sorted(out.items(), key=lambda x: min(x[1]["files"]))
+    for row in files:
+        sign, header = SEPARATORS[row["separator"]], None
+        if row["headed"]:
+            first = row["first"].strip()
+            cells = first.split() if row["separator"] == "space" else next(csv.reader([first], delimiter=sign))
+            header = tuple(c.strip() for c in cells)
+        out.setdefault(Layout(sign, row["fields"], header), []).append(row)
+    return sorted(out.items(), key=lambda x: min(r["file"] for r in x[1]))
 
 
 def read_files(spark: SparkSession, files: Sequence[str], layout: Layout, multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:

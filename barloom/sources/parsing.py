@@ -33,23 +33,36 @@ def share(known: Column) -> Column:
     return F.avg(F.when(known.isNotNull(), 1.0).otherwise(0.0))
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever marks that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict[str, float]:
-    """Shares of readable, non-negative and whole values per reading, in one pass.
+    return measure_all([(df, times, numbers)])[0]
+
+
+def measure_all(asked: Sequence[tuple[DataFrame, Sequence[str], Sequence[str]]]) -> list[dict[str, float]]:
+    """Shares of readable, non-negative and whole values per reading, of all tables in one pass.
 
     Columns are stacked, so each reading is compiled once whatever the table's width;
     a column is only tried as what it is listed for. One row per column comes back.
     """
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"`{c}`").alias("text"),
-                F.lit(c in times).alias("as_time"),
-                F.lit(c in numbers).alias("as_number"),
-            )
-            for c in dict.fromkeys([*times, *numbers])
-        ]
-    )
+    stacked = None
+    for i, (df, times, numbers) in enumerate(asked):
+        cells = F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    named(c).alias("text"),
+                    F.lit(c in times).alias("as_time"),
+                    F.lit(c in numbers).alias("as_number"),
+                )
+                for c in dict.fromkeys([*times, *numbers])
+            ]
+        )
+        rows = df.select(F.lit(i).alias("table"), F.inline(cells))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
     wanted = [share(F.when(F.col("as_time"), recognized("text"))).alias("t")]
     for kind, e in (("n", number("text")), ("c", comma_number("text"))):
         v = F.when(F.col("as_number"), e)
@@ -59,16 +72,19 @@ def measure(df: DataFrame, times: Sequence[str], numbers: Sequence[str]) -> dict
             share(F.when(v >= 0, v)).alias(f"{kind}+"),
             F.avg(F.when(v.isNotNull(), whole.cast("double"))).alias(f"{kind}i"),
         ]
-    rows = df.select(F.inline(cells)).groupBy("column").agg(*wanted).collect()
-    names = ["t", "n", "n+", "ni", "c", "c+", "ci"]
-    found = {f"{r['column']}#{k}": r[k] or 0.0 for r in rows for k in names}
-    listed = dict.fromkeys([*times, *numbers])
-    return {f"{c}#{k}": found.get(f"{c}#{k}", 0.0) for c in listed for k in names}
+    rows = stacked.groupBy("table", "column").agg(*wanted).collect()
+    kinds = ["t", "n", "n+", "ni", "c", "c+", "ci"]
+    found = {(r["table"], f"{r['column']}#{k}"): r[k] or 0.0 for r in rows for k in kinds}
+    out = []
+    for i, (_, times, numbers) in enumerate(asked):
+        listed = dict.fromkeys([*times, *numbers])
+        out.append({f"{c}#{k}": found.get((i, f"{c}#{k}"), 0.0) for c in listed for k in kinds})
+    return out
 
 
 def time_reading(measured: dict[str, float], column: str) -> tuple[Column, float]:
     """Reading of a time column and the share of its rows that have one."""
-    return recognized(column), measured[f"{column}#t"]
+    return recognized(named(column)), measured[f"{column}#t"]
 
 
 def _number_kind(measured: dict[str, float], column: str) -> str:
@@ -79,7 +95,7 @@ def _number_kind(measured: dict[str, float], column: str) -> str:
 def number_reading(measured: dict[str, float], column: str) -> tuple[Column, float]:
     """Chosen reading of a numeric column and its share."""
     kind = _number_kind(measured, column)
-    reading = comma_number(column) if kind == "c" else number(column)
+    reading = comma_number(named(column)) if kind == "c" else number(named(column))
     return reading, measured[f"{column}#{kind}"]
 
 
