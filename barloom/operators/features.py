@@ -72,37 +72,18 @@ CLOCK_SQL = {
     "session_tokyo": "cast(hour(ts) < 9 AS int)",
 }
 
-# A deviation below this share of the window's mean square is rounding noise.
-NOISE = 1e-13
-
-# Quantities summed over frames. Prices and volumes are measured from the block's level, ranges
-# from the first one, so that large ones that vary little keep their digits.
-TERMS = {
-    "c1": "close - _level",
-    "c2": "(close - _level) * (close - _level)",
-    "r1": "log_return_1",
-    "r2": "log_return_1 * log_return_1",
-    "v1": "volume - _vlevel",
-    "v2": "(volume - _vlevel) * (volume - _vlevel)",
-    "g0": "CASE WHEN _rng IS NOT NULL THEN 1D END",
-    "g1": "_rng - _gfirst",
-    "g2": "(_rng - _gfirst) * (_rng - _gfirst)",
-    "h1": "ln(high / low) * ln(high / low)",
-}
-
-# Which frame sums (term, rows) each rolling feature is made of.
-SUMS = {
-    "zscore_20": [("c1", 20), ("c2", 20)],
-    "zscore_50": [("c1", 50), ("c2", 50)],
-    "dist_from_ma_20": [("c1", 20)],
-    "realized_vol_10": [("r1", 10), ("r2", 10)],
-    "realized_vol_20": [("r1", 20), ("r2", 20)],
-    "realized_vol_50": [("r1", 50), ("r2", 50)],
-    "parkinson_vol_20": [("h1", 20)],
-    "volume_zscore_20": [("v1", 20), ("v2", 20)],
-    "volume_norm_return": [("v1", 20)],
-    "activity_intensity_10": [("v1", 10), ("v1", 50)],
-    "range_zscore_20": [("g0", 20), ("g1", 20), ("g2", 20)],
+# Which frames (aggregate, column, rows) each rolling feature is made of. Deviations are
+# Spark's, which starts every frame afresh: what has left a frame leaves no rounding behind.
+FRAMES = {
+    "zscore_20": [("avg", "close", 20), ("stddev_samp", "close", 20)],
+    "zscore_50": [("avg", "close", 50), ("stddev_samp", "close", 50)],
+    "dist_from_ma_20": [("avg", "close", 20)],
+    **{f"realized_vol_{n}": [("stddev_samp", "log_return_1", n)] for n in VOLS},
+    "parkinson_vol_20": [("avg", "_hl2", 20)],
+    "volume_zscore_20": [("avg", "volume", 20), ("stddev_samp", "volume", 20)],
+    "volume_norm_return": [("avg", "volume", 20)],
+    "activity_intensity_10": [("avg", "volume", 10), ("avg", "volume", 50)],
+    "range_zscore_20": [("count", "_rng", 20), ("avg", "_rng", 20), ("stddev_samp", "_rng", 20)],
 }
 
 # Features made of other features.
@@ -148,24 +129,18 @@ def add_features(
 
     Bars must be normalized: positive prices, high >= low, no NULLs.
 
-    A sliding frame of n rows costs Spark n updates per row. So rolling sums are
-    differences of running sums instead, one update per row whatever n is. The
-    running sums restart every BLOCK rows, prices are taken relative to a price
-    at the block's edge, and both keep the differences free of cancellation.
+    All rolling features come from three sliding frames, of 10, 20 and 50 rows, whose
+    aggregates are updated together; they cost 80 updates per row. Exponential sums reach
+    back without end, so they are running sums, which restart every BLOCK rows.
     """
     # A feature that does not exist is left out, and signals that need it are skipped.
     names = [f for f in (FEATURES if keep is None else keep) if f in set(FEATURES)]
     wanted = set(names) | {d for f in names for d in BUILT_ON.get(f, [])}
     spans = [n for n in SPANS if f"ewma_vol_{n}" in wanted]
-    frames = sorted({pair for f in wanted for pair in SUMS.get(f, [])})
-    terms = {k: TERMS[k] for k in sorted({k for k, _ in frames})}
+    frames = sorted({frame for f in wanted for frame in FRAMES.get(f, [])}, key=lambda f: (f[2], f))
+    terms: dict[str, str] = {}
     for span in spans:
         terms |= _ewma_terms(span)
-    levels = {
-        k: (column, level)
-        for k, column, level in (("c", "close", "_level"), ("v", "volume", "_vlevel"))
-        if f"{k}1" in terms
-    }
 
     keys = ", ".join(part)
     w = f"(PARTITION BY {keys} ORDER BY _blk, pos)"
@@ -182,6 +157,7 @@ def add_features(
             "_j": f"pos % {BLOCK}",
             "_lc": "ln(close)",
             "_rng": "nullif(high - low, 0D)",
+            "_hl2": "ln(high / low) * ln(high / low)",
         },
     )
 
@@ -190,89 +166,55 @@ def add_features(
         return f"lag({x}, {n}) OVER {w}"
 
     single = {"_row": f"row_number() OVER {w}", "log_return_1": f"_lc - {lagged('_lc', 1)}"}
-    for column, level in levels.values():
-        single[f"{level}_first"] = f"first({column}) OVER {w}"
-    if "g1" in terms:
-        single["_gfirst"] = f"first(_rng, true) OVER {w}"
     for n in LAGS:
         single[f"return_{n}"] = f"try_divide(close, {lagged('close', n)}) - 1"
         single[f"momentum_{n}"] = f"_lc - {lagged('_lc', n)}"
     single["volume_change_5"] = f"try_divide(volume, {lagged('volume', 5)}) - 1"
     if "volume_norm_return" in wanted:
         single["_ret1"] = f"try_divide(close, {lagged('close', 1)}) - 1"
-    helpers = {"_row", "_level_first", "_vlevel_first", "_gfirst", "_ret1", "log_return_1"}
+    helpers = {"_row", "_ret1", "log_return_1"}
     single = {k: e for k, e in single.items() if k in wanted | helpers}
     for h in horizons:
         single[target_column(h)] = f"lead(_lc, {h}) OVER {w} - _lc"
     df = add(df, single)
 
-    # The level of a block is the last value before it; `_before` is the level of the
-    # block before.
-    def edge(column: str, level: str, back: int) -> str:
-        frame = f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING"
-        return f"coalesce(max_by({column}, pos) OVER ({by_block} {frame}), {level}_first)"
+    def frame(fn: str, x: str, n: int) -> str:
+        return f"{fn}({x}) OVER (PARTITION BY {keys} ORDER BY _blk, pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
-    for column, level in levels.values():
-        df = add(df, {level: edge(column, level, 1), f"{level}_before": edge(column, level, 2)})
+    df = add(df, {f"_{fn}_{x}_{n}": frame(fn, x, n) for fn, x, n in frames})
     df = add(df, {f"_d{n}": f"pow({1.0 - 2.0 / (n + 1.0)!r}D, _j)" for n in spans})
     df = add(df, {f"_t_{k}": e for k, e in terms.items()})
     df = add(df, {f"_{k}": f"coalesce(sum(_t_{k}) OVER ({running}), 0D)" for k in terms})
     previous = f"{by_block} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING"
     df = add(df, {f"_q_{k}": f"coalesce(sum(_t_{k}) OVER ({previous}), 0D)" for k in terms})
-    df = add(df, {f"_l{n}_{k}": f"lag(_{k}, {n}, 0D) OVER {w}" for k, n in frames})
-
-    # Frame sums: rows of this block, plus those of the block before where the
-    # frame reaches back. Those were measured from another level.
     sums: dict[str, str] = {}
-    for k, n in frames:
-        rest = f"(CASE WHEN _j >= {n} THEN 0D ELSE _q_{k} END)"
-        sums[f"_{k}_{n}"] = f"_{k} + ({rest} - _l{n}_{k})"
-        if k[0] in levels:
-            level = levels[k[0]][1]
-            old, shift = f"greatest({n - 1} - _j, 0)", f"({level}_before - {level})"
-            moved = f"{old} * {shift}"
-            if k[1] == "2":
-                moved = f"2 * {shift} * (_q_{k[0]}1 - _l{n}_{k[0]}1) + {old} * {shift} * {shift}"
-            sums[f"_{k}_{n}"] += f" + CASE WHEN _j >= {n - 1} THEN 0D ELSE {moved} END"
     for span in spans:
         sums |= _ewma_sums(span)
     df = add(df, sums)
 
-    def deviation(k: str, n: int) -> str:
-        s1, s2 = f"_{k}1_{n}", f"_{k}2_{n}"
-        rest = f"({s2} - {s1} * {s1} / {n})"
-        return f"sqrt(CASE WHEN {rest} > {s2} * {NOISE!r}D THEN {rest} ELSE 0D END / {n - 1})"
-
     def once(rows: int, e: str) -> str:
         return f"CASE WHEN _row >= {rows} THEN {e} END"
 
-    vols = {
-        f"realized_vol_{n}": once(n + 1, f"{deviation('r', n)} * {math.sqrt(n)!r}D") for n in VOLS
-    }
+    vols = {f"realized_vol_{n}": once(n + 1, f"_stddev_samp_log_return_1_{n} * {math.sqrt(n)!r}D") for n in VOLS}
     df = add(df, {k: e for k, e in vols.items() if k in wanted})
 
-    def price_z(n: int) -> str:
-        top = f"close - _level - _c1_{n} / {n}"
-        return once(n, f"try_divide({top}, {deviation('c', n)})")
+    def score(x: str, n: int) -> str:
+        return f"try_divide({x} - _avg_{x}_{n}, _stddev_samp_{x}_{n})"
 
     final = {
-        "zscore_20": price_z(20),
-        "zscore_50": price_z(50),
-        "dist_from_ma_20": once(20, "close / (_level + _c1_20 / 20) - 1"),
+        "zscore_20": once(20, score("close", 20)),
+        "zscore_50": once(50, score("close", 50)),
+        "dist_from_ma_20": once(20, "close / _avg_close_20 - 1"),
         **{f"ewma_vol_{n}": _ewma_deviation(n) for n in spans},
         "vol_ratio_10_50": "try_divide(realized_vol_10, realized_vol_50)",
         "vol_change_10": f"realized_vol_10 - {lagged('realized_vol_10', 5)}",
-        "parkinson_vol_20": once(20, f"sqrt(greatest(_h1_20, 0D) / 20 / {4 * math.log(2)!r}D)"),
-        "volume_zscore_20": once(
-            20, f"try_divide(volume - _vlevel - _v1_20 / 20, {deviation('v', 20)})"
-        ),
-        "volume_norm_return": once(20, "try_divide(_ret1, _vlevel + _v1_20 / 20)"),
-        "activity_intensity_10": once(50, "try_divide(_vlevel + _v1_10 / 10, _vlevel + _v1_50 / 50)"),
+        "parkinson_vol_20": once(20, f"sqrt(_avg__hl2_20 / {4 * math.log(2)!r}D)"),
+        "volume_zscore_20": once(20, score("volume", 20)),
+        "volume_norm_return": once(20, "try_divide(_ret1, _avg_volume_20)"),
+        "activity_intensity_10": once(50, "try_divide(_avg_volume_10, _avg_volume_50)"),
         "close_loc_in_range": "(close - low) / _rng",
         "bar_range_pct": "_rng / close",
-        "range_zscore_20": (
-            f"CASE WHEN _g0_20 = 20 THEN try_divide(_rng - _gfirst - _g1_20 / 20, {deviation('g', 20)}) END"
-        ),
+        "range_zscore_20": f"CASE WHEN _count__rng_20 = 20 THEN {score('_rng', 20)} END",
         **CLOCK_SQL,
     }
     directions = {target_column(h, "direction"): f"signum({target_column(h)})" for h in horizons}

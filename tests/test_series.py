@@ -67,23 +67,39 @@ def test_constant_prices_have_no_score(spark):
     assert (out["realized_vol_20"].dropna() == 0).all()
 
 
-def test_large_volumes_keep_their_scores(spark):
-    """Volumes of 1e9 that vary by 100, after a first block of small ones.
-
-    Frames that hold rows of the block with the jump are left out: those are measured from the
-    level before it and lose digits.
-    """
+def exact_scores(values, n):
+    """Two-pass scores of the last value of each window; NaN where a window does not vary."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.asarray(values), n).astype(np.longdouble)
+    mean = windows.mean(axis=1, keepdims=True)
+    spread = np.sqrt(((windows - mean) ** 2).sum(axis=1) / (n - 1))
+    out = np.full(len(values), np.nan)
+    flat = (windows == windows[:, :1]).all(axis=1)
+    out[n - 1 :] = np.where(flat, np.nan, (windows[:, -1] - mean[:, 0]) / np.where(flat, 1, spread))
+    return out
+
+
+def test_scores_are_exact_beside_spikes_and_jumps(spark):
+    """Volumes of 1e3 with spikes of 1e12, of 1e9 that vary by 100, and a price that jumps from 1
+    to 1e4: what has left a window, or lies before it in its block, changes no digit."""
     rng = np.random.default_rng(8)
-    volume = np.r_[np.full(1024, 5.0), 1e9 + rng.integers(-100, 101, 2000)]
-    pdf = pd.DataFrame({"i": range(len(volume)), "volume": volume})
-    rows = spark.createDataFrame(pdf).selectExpr(
-        "'A' AS instrument", "cast(timestamp_seconds(i * 3600) AS timestamp_ntz) AS ts",
-        "1D AS open", "2D AS high", "1D AS low", "1D AS close", "volume",
-    )
-    got = local(feature_matrix(with_position(rows), (), dropna=False, keep=["volume_zscore_20"]))
-    windows = np.lib.stride_tricks.sliding_window_view(volume, 20)[2048:]
-    want = (windows[:, -1] - windows.mean(axis=1)) / windows.std(axis=1, ddof=1)
-    assert np.allclose(got.volume_zscore_20.to_numpy()[2067:], want, atol=1e-6)
+    spikes = 1e3 + rng.integers(0, 50, 3000).astype(float)
+    spikes[::997] = 1e12
+    large = np.r_[np.full(1024, 5.0), 1e9 + rng.integers(-100, 101, 1976)]
+    price = np.r_[1 + rng.random(1500) / 100, 1e4 + rng.random(1500)]
+    price[2000:2030] = 1e4
+    for volume in (spikes, large):
+        pdf = pd.DataFrame({"i": range(3000), "volume": volume, "price": price, "wide": 1 + rng.random(3000)})
+        rows = spark.createDataFrame(pdf).selectExpr(
+            "'A' AS instrument", "cast(timestamp_seconds(i * 3600) AS timestamp_ntz) AS ts",
+            "price AS open", "price + wide AS high", "price AS low", "price AS close", "volume",
+        )
+        got = local(feature_matrix(with_position(rows), (), dropna=False))
+        ranges = (price + pdf.wide) - price
+        for name, values, n in (("volume_zscore_20", volume, 20), ("zscore_20", price, 20), ("zscore_50", price, 50), ("range_zscore_20", ranges, 20)):
+            want = exact_scores(values, n)
+            assert (got[name].isna() == np.isnan(want)).all(), name
+            assert np.allclose(got[name].dropna(), want[~np.isnan(want)], rtol=1e-6, atol=1e-6), name
+        assert np.allclose(got.activity_intensity_10[49:], [volume[i - 9 : i + 1].mean() / volume[i - 49 : i + 1].mean() for i in range(49, 3000)], rtol=1e-9)
 
 
 def test_absent_inputs_skip_a_signal(bars):
