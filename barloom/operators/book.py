@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.operators.lookup import cuts, last_step, piece
+from barloom.operators.lookup import last_step, running
 from barloom.operators.positions import KEY
 from barloom.session import materialized
 
@@ -77,85 +77,40 @@ def depth_within(orders: DataFrame, levels: int, keys: Sequence[str] = KEY) -> D
     )
 
 
-def _queue(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each order with `ahead` and `notional_ahead`: quantity and value of its side
-    before it in priority, and `distance`, its price as a cost to the taker.
-
-    Large books are cut into cells of one price and one stretch of
-    arrival times. Only cell totals are summed across a book, inside pieces of prices.
-    """
-    side = [*keys, "side"]
-    earlier = (Window.unboundedPreceding, -1)
-    value = F.col("quantity") * F.col("price")
-
-    def summed(column: Column | str, w: Window) -> Column:
-        return F.coalesce(F.sum(column).over(w), F.lit(0.0))
-
-    priced = orders.withColumn(
-        "distance", F.when(F.col("side") == BUY, -F.col("price")).otherwise(F.col("price"))
-    )
-    placed = (
-        priced.join(cuts(orders, side, "ts", "_times"), side, "left")
-        .withColumn("_cell", piece("ts", "_times"))
-        .drop("_times")
-    )
-    sums = [
-        F.sum("quantity").alias("_q"),
-        F.sum(F.col("quantity") * F.col("price")).alias("_v"),
-    ]
-    cells = placed.groupBy(*side, "distance", "_cell").agg(*sums)
-    banded = cells.join(cuts(cells, side, "distance"), side, "left").withColumn(
-        "_band", piece("distance")
-    )
-    across = Window.partitionBy(*side).orderBy("_band").rowsBetween(*earlier)
-    bands = (
-        banded.groupBy(*side, "_band")
-        .agg(F.sum("_q").alias("_bq"), F.sum("_v").alias("_bv"))
-        .select(*side, "_band", summed("_bq", across).alias("_q0"), summed("_bv", across).alias("_v0"))
-    )
-    inside = Window.partitionBy(*side, "_band").orderBy("distance", "_cell").rowsBetween(*earlier)
-    starts = banded.join(bands, [*side, "_band"]).select(
-        *side,
-        "distance",
-        "_cell",
-        (F.col("_q0") + summed("_q", inside)).alias("_q1"),
-        (F.col("_v0") + summed("_v", inside)).alias("_v1"),
-    )
-    arrival = (
-        Window.partitionBy(*side, "distance", "_cell").orderBy("ts", "id").rowsBetween(*earlier)
-    )
-    return placed.join(starts, [*side, "distance", "_cell"]).select(
-        *orders.columns,
-        "distance",
-        (F.col("_q1") + summed("quantity", arrival)).alias("ahead"),
-        (F.col("_v1") + summed(value, arrival)).alias("notional_ahead"),
-    )
-
-
 def _opposite() -> Column:
     return F.when(F.col("side") == BUY, SELL).otherwise(BUY)
 
 
-def _with_reach(queue: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add `reach`: the quantity a request fills, from what it wants and what rests
-    on the other side within its limit."""
+def _queue_and_reach(orders: DataFrame, requests: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Orders in priority, and requests with what they fill.
+
+    Each order gets `ahead` and `notional_ahead`: quantity and value of its side before it, and
+    `distance`, its price as a cost to the taker. A request's `reach` is the quantity it fills,
+    from what it wants and what rests on the other side within its limit. Limits are sorted in
+    behind the orders of their price, so the same sums tell both.
+    """
     side = [*keys, "side"]
-    through = (F.col("ahead") + F.col("quantity")).alias("through")
-    steps = queue.select(*keys, _opposite().alias("side"), "distance", through)
-    total = steps.groupBy(*side).agg(F.max("through").alias("_total"))
-    sized = requests.join(total, side, "left")
+    distance = F.when(F.col("side") == BUY, -F.col("price")).otherwise(F.col("price"))
+    rows = orders.withColumns({"distance": distance, "_limit": F.lit(0)})
+    limited = "limit_price" in requests.columns
+    if limited:
+        # A buyer accepts prices up to the limit, a seller down to it.
+        cost = F.when(F.col("side") == BUY, F.col("limit_price")).otherwise(-F.col("limit_price"))
+        requests = requests.withColumn("distance", cost)
+        limits = requests.where(F.col("distance").isNotNull()).select(*keys, _opposite().alias("side"), "distance", F.lit(1).alias("_limit"))
+        rows = rows.unionByName(limits.distinct(), allowMissingColumns=True)
+    sums = {"ahead": F.coalesce("quantity", F.lit(0.0)), "notional_ahead": F.coalesce(F.col("quantity") * F.col("price"), F.lit(0.0))}
+    placed = materialized(running(rows, side, ["distance", "_limit", "ts", "id"], sums))
+    queue = placed.where("_limit = 0").drop("_limit")
+    total = queue.groupBy(*keys, _opposite().alias("side")).agg(F.max(F.col("ahead") + F.col("quantity")).alias("_total"))
+    wanted = requests.join(total, side, "left")
     reach = F.least(F.col("quantity"), F.coalesce("_total", F.lit(0.0)))
-    if "limit_price" not in requests.columns:
-        return sized.withColumn("reach", reach).drop("_total")
-    # A buyer accepts prices up to the limit, a seller down to it.
-    cost = F.when(F.col("side") == BUY, F.col("limit_price")).otherwise(-F.col("limit_price"))
-    limited = sized.withColumn("distance", cost)
-    levels = steps.groupBy(*side, "distance").agg(F.max("through").alias("_within"))
-    probes = limited.where(F.col("distance").isNotNull()).select(*side, "distance").distinct()
-    within = last_step(levels, probes, side, "distance", ["_within"])
+    if not limited:
+        return queue, wanted.withColumn("reach", reach).drop("_total")
+    within = placed.where("_limit = 1").select(*keys, _opposite().alias("side"), "distance", F.col("ahead").alias("_within"))
     capped = F.least(reach, F.coalesce("_within", F.lit(0.0)))
-    return (
-        limited.join(within, [*side, "distance"], "left")
+    return queue, (
+        wanted.join(within, [*side, "distance"], "left")
         .withColumn("reach", F.when(F.col("distance").isNull(), reach).otherwise(capped))
         .drop("_total", "_within", "distance")
     )
@@ -172,9 +127,8 @@ def sweep(orders: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY) ->
     quantities, up to `FULL`, is no fill.
     """
     side = [*keys, "side"]
-    queue = materialized(_queue(orders, keys))
-    wanted = _with_reach(queue, requests, keys).where(F.col("reach") > 0)
-    wanted = materialized(wanted.select(*side, "request_id", "reach"))
+    queue, wanted = _queue_and_reach(orders, requests, keys)
+    wanted = materialized(wanted.where(F.col("reach") > 0).select(*side, "request_id", "reach"))
     width = wanted.groupBy(*side).agg(F.avg("reach").alias("_width"))
     cells = (
         wanted.join(width, side)
@@ -214,8 +168,7 @@ def execution_report(
     last order it reaches plus the part taken from that order.
     """
     side = [*keys, "side"]
-    queue = materialized(_queue(orders, keys))
-    reached = _with_reach(queue, requests, keys)
+    queue, reached = _queue_and_reach(orders, requests, keys)
     steps = queue.select(
         *keys,
         _opposite().alias("side"),

@@ -146,16 +146,50 @@ def rolling_ic(
     return placed.groupBy(*keys, "_chunk").applyInPandas(slide, schema)
 
 
-def _resample_count(row: Column, draw: Column, seed: int) -> Column:
-    """How often a resample holds a row: Poisson(1) from a hash of both."""
+#: Rows drawn at a time, and groups whose sums a task holds at a time.
+DRAWN, HELD = 256, 64
+
+
+def _resample_counts(row: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
+    """How often a resample (column) holds a row: Poisson(1) from a hash of both."""
     prime = 2_147_483_647
-    mixed = (row % prime * 48_271 + draw * 69_621 + seed) % prime
+    mixed = np.fmod(np.fmod(row, prime)[:, None] * 48_271 + draw[None, :] * 69_621 + seed, prime)
     for factor, shift in ((16_807, 7), (40_692, 13), (39_373, 29)):
-        mixed = ((mixed * mixed) % prime + mixed * factor + shift + draw) % prime
-    u = mixed / float(prime)
+        mixed = np.fmod(np.fmod(mixed * mixed, prime) + mixed * factor + shift + draw[None, :], prime)
     # Poisson(1) distribution function at 0, 1, 2, ...
     cdf = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(12)])
-    return sum((F.when(u > float(p), 1).otherwise(0) for p in cdf[1:]), F.when(u > float(cdf[0]), 1).otherwise(0))
+    return np.searchsorted(cdf, mixed / float(prime), "left")
+
+
+def _resample_sums(rows: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """keys, _draw, _sum, _times: each task adds its rows up into two vectors per group."""
+    draw = np.arange(resamples, dtype=np.int64)
+
+    def packed(held):
+        parts = [
+            pd.DataFrame({**dict(zip(keys, key)), "_draw": draw, "_sum": s, "_times": t}) for key, (s, t) in held.items()
+        ]
+        return pd.concat(parts, ignore_index=True)
+
+    def add_up(batches):
+        held: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby(list(keys), sort=False, dropna=False):
+                sums, times = held.setdefault(key, (np.zeros(resamples), np.zeros(resamples, np.int64)))
+                row, value = part["_row"].to_numpy(np.int64), part["_value"].to_numpy(float)
+                for i in range(0, len(part), DRAWN):
+                    counts = _resample_counts(row[i : i + DRAWN], draw, seed)
+                    sums += value[i : i + DRAWN] @ counts
+                    times += counts.sum(axis=0)
+                if len(held) >= HELD:
+                    yield packed(held)
+                    held = {}
+        if held:
+            yield packed(held)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _draw bigint, _sum double, _times bigint"
+    return rows.mapInPandas(add_up, schema)
 
 
 def bootstrap_mean(
@@ -170,21 +204,15 @@ def bootstrap_mean(
     """Mean with a percentile bootstrap interval.
 
     Each row enters each resample a Poisson(1) number of times, drawn from a hash
-    of (row, resample, seed); the weighted sums combine before the shuffle, so
-    what moves is at most `resamples` rows per group and task.
+    of (row, resample, seed). A row is never copied: its counts are added to one vector of sums
+    per group, and `resamples` sums per group and task are what moves.
     """
     clean = df.where(F.col(value).isNotNull())
-    draws = clean.select(
-        *keys,
-        F.col(row).cast("bigint").alias("_row"),
-        value,
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_draw"),
-    )
-    times = _resample_count(F.col("_row"), F.col("_draw").cast("bigint"), seed)
+    rows = clean.select(*keys, F.col(row).cast("bigint").alias("_row"), F.col(value).cast("double").alias("_value"))
     means = (
-        draws.withColumn("_times", times)
+        _resample_sums(rows, keys, resamples, seed)
         .groupBy(*keys, "_draw")
-        .agg(ratio(F.sum(F.col(value) * F.col("_times")), F.sum("_times")).alias("_mean"))
+        .agg(ratio(F.sum("_sum"), F.sum("_times")).alias("_mean"))
     )
     tails = [(1 - level) / 2, (1 + level) / 2]
     bounds = means.groupBy(*keys).agg(F.percentile("_mean", F.array(*map(F.lit, tails))).alias("_b"))

@@ -5,8 +5,8 @@ Two ways, as the caller knows its groups:
 * `bounded=True`: the group is a fold slice, at most train or test bars long by
   configuration. Plain windows over the group.
 * Otherwise, for whole series of any size, equal values are counted first (so a value held by a third of all
-  rows is one row), the distinct values of large groups are cut at approximate
-  quantiles, and only a running sum over the pieces spans the group.
+  rows is one row), the distinct values are sorted in ranges, and only a running sum over
+  the ranges spans the group.
 """
 
 from __future__ import annotations
@@ -16,36 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.lookup import cuts, piece
+from barloom.operators.lookup import running
 from barloom.session import materialized
 
 
 def _ordered_counts(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values per group with `n` and `below` (rows smaller)."""
-    counts = materialized(
-        values.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = (
-        counts.join(cuts(counts, keys, value), list(keys), "left")
-        .withColumn("_piece", piece(value))
-        .drop("_cuts")
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        placed.groupBy(*keys, "_piece")
-        .agg(F.sum("n").alias("_n"))
-        .select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return placed.join(offsets, [*keys, "_piece"]).select(
-        *keys, value, "n", (F.col("_offset") + F.sum("n").over(inside) - F.col("n")).alias("below")
-    )
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return running(counts, keys, [value], {"below": F.col("n")}).select(*keys, value, "n", "below")
 
 
 def exact_percentile(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from barloom.catalogue.market import QUERIES as MARKET
 from barloom.catalogue.text import QUERIES
-from barloom.operators import lookup
 from barloom.operators.book import depth_at, execution_report, sweep, top_of_book
 from barloom.operators.folds import FoldPlan, assign_folds
 from barloom.operators.ladder import NAIVE, ladder_errors, predict_ladder
@@ -23,6 +22,8 @@ from barloom.sources.delimited import LayoutError, choose_layout, read_lines
 from barloom.sources.ranges import coverage, research_range
 from barloom.sources.schema import SchemaError, looks_like_header, map_headers, tick_layout
 
+from ranges import cut_into
+
 ORDER = "instrument string, id bigint, side string, price double, quantity double, ts bigint"
 REQUEST = (
     "instrument string, request_id bigint, side string, quantity double, limit_price double, submit_time bigint"
@@ -55,7 +56,7 @@ def test_top_of_book_with_empty_side(spark):
 
 def test_split_books_equal_a_walk(spark, monkeypatch):
     """One book holds most orders and is cut; every fill equals a direct walk."""
-    monkeypatch.setattr(lookup, "HOT_ROWS", 40)
+    cut_into(monkeypatch, 9)
     rng = np.random.default_rng(1)
     n = 900
     side = rng.choice(["buy", "sell"], n)

@@ -19,6 +19,8 @@ from barloom.operators.execution import in_order
 from barloom.operators.signals import combine_scores, momentum, needed_features, score_signals
 from barloom.functions.timeframes import TimeframeError
 
+from ranges import cut_into
+
 
 def local(df, name="A"):
     return df.where(F.col("instrument") == name).orderBy("pos").toPandas()
@@ -172,7 +174,7 @@ def test_monotone_score_has_full_correlation(spark):
 
 @pytest.fixture
 def tiny_pieces(monkeypatch):
-    monkeypatch.setattr(lookup, "HOT_ROWS", 50)
+    cut_into(monkeypatch, 7)
 
 
 def test_split_ranks_equal_plain_ranks(spark, tiny_pieces):
@@ -237,6 +239,12 @@ def test_student_tail_known_values():
     assert np.allclose(got, [0.05, 0.05, 0.05, 1.0, 0.0], atol=5e-5)
 
 
+def test_bootstrap_copies_no_row(spark):
+    df = spark.range(10).selectExpr("id % 2 AS g", "id AS i", "CAST(id AS double) AS v")
+    plan = bootstrap_mean(df, ["g"], "v", "i")._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInPandas" in plan
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = np.random.default_rng(6)
     values = rng.normal(1.0, 2.0, 800)
