@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +17,7 @@ from barloom.catalogue.common import (
     rounded,
     with_p_sql,
 )
-from barloom.catalogue.market import ALL_PASSES, PASSES, em_sql, posterior_sql
+from barloom.catalogue.market import em_sql, posterior_sql
 from barloom.catalogue.text import ONE_SERIES, one_series
 from barloom.catalogue.walk import RUN, TEST_SQL
 from barloom.operators.folds import assign_folds
@@ -30,15 +29,15 @@ from barloom.sources.tables import load_dataset, register_dataset
 PLAN, TAIL = RUN.plan, RUN.tail
 
 
-def regime_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
+def regime_query(spark: SparkSession, sf: str) -> DataFrame:
     """Test-slice correlation of every signal within the regimes of the train fit."""
     bars = placed_bars(spark, sf)
     train, test = (assign_folds(bars, PLAN, TAIL, [role]).drop("role") for role in ("train", "test"))
-    labels = materialized(causal_regimes(train, test, SLICE, iterations=passes).drop("probabilities"))
+    labels = materialized(causal_regimes(train, test, SLICE).drop("probabilities"))
     return rounded(regime_evidence(bars, RUN, labels), 6)
 
 
-REGIME_ORACLE = f"""WITH {TEST_SQL},
+REGIME_ORACLE = f"""WITH RECURSIVE {TEST_SQL},
 {folds_sql("bars", "rtr", PLAN, TAIL, "train")}, {folds_sql("bars", "rte", PLAN, TAIL, "test")},
 {features_sql("rtr", "ftr", "instrument, fold_id")}, {features_sql("rte", "fte", "instrument, fold_id")},
 x AS (SELECT instrument, fold_id, pos, log_return_1 AS ret, realized_vol_20 / sqrt(20) AS vol, momentum_20 / 20 AS trend
@@ -46,7 +45,7 @@ x AS (SELECT instrument, fold_id, pos, log_return_1 AS ret, realized_vol_20 / sq
 {em_sql("x", "instrument, fold_id")},
 y AS (SELECT f.instrument, f.fold_id, f.ts, f.pos, (log_return_1 - a0) / s0 AS z0, (realized_vol_20 / sqrt(20) - a1) / s1 AS z1,
   (momentum_20 / 20 - a2) / s2 AS z2 FROM fte f JOIN em_scale USING (instrument, fold_id) WHERE realized_vol_20 IS NOT NULL),
-{posterior_sql("ap", "y", f"em_p{PASSES}", "instrument, fold_id")},
+{posterior_sql("ap", "y", "em_f", "instrument, fold_id")},
 b AS (SELECT instrument, fold_id, pos, arg_max(c, p) AS c FROM ap GROUP BY 1, 2, 3),
 sr AS (SELECT t.*, n.name AS regime FROM ts_ t JOIN b USING (instrument, fold_id, pos)
   JOIN em_n n ON b.instrument = n.instrument AND b.fold_id = n.fold_id AND b.c = n.c),
@@ -70,6 +69,6 @@ SELECT instrument, ts, {", ".join(r(c) for c in ("open", "high", "low", "close",
 
 QUERIES = {
     "ic_by_regime": (regime_query, REGIME_ORACLE),
-    "ic_by_regime_full": (partial(regime_query, passes=ALL_PASSES), None),
+    "ic_by_regime_full": (regime_query, REGIME_ORACLE),
     "stored_bars": (stored_query, STORED_ORACLE),
 }

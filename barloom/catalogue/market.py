@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import partial
-from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +24,16 @@ from barloom.operators import book, quality
 from barloom.operators.features import FEATURES, feature_matrix
 from barloom.operators.folds import FoldPlan, assign_folds
 from barloom.operators.ladder import NAIVE, ladder_errors, predict_ladder
-from barloom.operators.regimes import apply_regimes, causal_regimes, current_regime, fit_regimes, series_inputs
+from barloom.operators.regimes import (
+    PASSES,
+    TOLERANCE,
+    apply_regimes,
+    causal_regimes,
+    current_regime,
+    detect_regimes,
+    fit_regimes,
+    series_inputs,
+)
 from barloom.session import materialized
 
 # --- quality -------------------------------------------------------------------
@@ -331,50 +338,52 @@ FROM q LEFT JOIN t USING (request_id) LEFT JOIN b ON q.instrument = b.instrument
 
 # --- regimes -------------------------------------------------------------------
 
-#: Passes of the queries with SQL, and of those without: the operators' default.
-PASSES, ALL_PASSES = 6, signature(fit_regimes).parameters["iterations"].default
 PLAN = FoldPlan(train=300, test=100, step=100, embargo=10)
 
 
-def em_sql(source: str, keys: str, passes: int = PASSES) -> str:
-    """Mixture CTEs over `source(keys, pos, ret, vol, trend)`; parameters in long form."""
+SCORE = "ln(w) - " + " - ".join(f"(ln(v{d}) + pow(z{d} - m{d}, 2) / v{d}) / 2" for d in range(3))
+
+
+def em_sql(source: str, keys: str) -> str:
+    """Mixture CTEs (recursive) over `source(keys, pos, ret, vol, trend)`; parameters in long form.
+
+    A group goes on while its mean log-likelihood moves by the tolerance.
+    """
     k = ", ".join(f"s.{c.strip()}" for c in keys.split(","))
+    first = {"w": 0.25, "m0": 0.0, "m1": "cos", "m2": "sin", "v0": 1.0, "v1": 1.0, "v2": 1.0}
+
+    def number(x, i: int) -> str:
+        return f"{x if isinstance(x, float) else getattr(math, x)(math.pi * i / 2)!r}::DOUBLE"
+
     start = " UNION ALL ".join(
-        f"SELECT {keys}, {i} AS c, 0.25 AS w, 0.0 AS m0, {math.cos(math.pi * i / 2)!r} AS m1,"
-        f" {math.sin(math.pi * i / 2)!r} AS m2, 1.0 AS v0, 1.0 AS v1, 1.0 AS v2 FROM em_scale"
+        f"SELECT {keys}, {i} AS c, {', '.join(f'{number(x, i)} AS {n}' for n, x in first.items())},"
+        " NULL::DOUBLE AS ll, false AS done, 0 AS t FROM em_scale"
         for i in range(4)
     )
-    ctes = [
-        f"""em_scale AS (SELECT {keys}, avg(ret) AS a0, avg(vol) AS a1, avg(trend) AS a2, stddev_pop(ret) AS s0,
-  stddev_pop(vol) AS s1, stddev_pop(trend) AS s2 FROM {source} GROUP BY {keys})""",
-        f"""em_z AS (SELECT {k}, s.pos, (ret - a0) / s0 AS z0, (vol - a1) / s1 AS z1, (trend - a2) / s2 AS z2
-  FROM {source} s JOIN em_scale e USING ({keys}))""",
-        f"em_p0 AS ({start})",
-    ]
-    for t in range(1, passes + 1):
-        ctes.append(posterior_sql(f"em_r{t}", "em_z", f"em_p{t - 1}", keys))
-        means = [f"sum(p * z{d}) / (sum(p) + 1e-10)" for d in range(3)]
-        ctes.append(
-            f"""em_p{t} AS (SELECT {keys}, c, (sum(p) + 1e-10) / count(*) AS w,
-  {", ".join(f"{m} AS m{d}" for d, m in enumerate(means))},
-  {", ".join(f"greatest(sum(p * z{d} * z{d}) / (sum(p) + 1e-10) - pow({m}, 2), 0) + 1e-6 AS v{d}" for d, m in enumerate(means))}
-  FROM em_r{t} GROUP BY {keys}, c)"""
-        )
-    ctes.append(
-        f"""em_u AS (SELECT {keys}, c, w, m1 * s1 + a1 AS vol, m2 * s2 + a2 AS trend FROM em_p{passes} JOIN em_scale USING ({keys}))""",
-    )
-    ctes.append(
-        f"""em_n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {keys} ORDER BY vol DESC, c) = 1
+    over = f"OVER (PARTITION BY {keys}, pos)"
+    means = [f"sum(p * z{d}) / (sum(p) + 1e-10)" for d in range(3)]
+    step = f"""SELECT {keys}, c, (sum(p) + 1e-10) / count(*), {", ".join(means)},
+    {", ".join(f"greatest(sum(p * z{d} * z{d}) / (sum(p) + 1e-10) - pow({m}, 2), 0) + 1e-6" for d, m in enumerate(means))},
+    avg(l), coalesce(abs(avg(l) - any_value(ll)) < {TOLERANCE!r}, false), t + 1
+  FROM (SELECT *, e / sum(e) {over} AS p, top + ln(sum(e) {over}) AS l
+    FROM (SELECT *, exp(s - top) AS e FROM (SELECT *, max(s) {over} AS top
+      FROM (SELECT {keys}, pos, z0, z1, z2, c, ll, t, {SCORE} AS s FROM em_z JOIN em_p USING ({keys}) WHERE NOT done AND t < {PASSES}))))
+  GROUP BY {keys}, c, t"""
+    return f"""em_scale AS (SELECT {keys}, avg(ret) AS a0, avg(vol) AS a1, avg(trend) AS a2, stddev_pop(ret) AS s0,
+  stddev_pop(vol) AS s1, stddev_pop(trend) AS s2 FROM {source} GROUP BY {keys}),
+em_z AS MATERIALIZED (SELECT {k}, s.pos, (ret - a0) / s0 AS z0, (vol - a1) / s1 AS z1, (trend - a2) / s2 AS z2
+  FROM {source} s JOIN em_scale e USING ({keys})),
+em_p AS ({start} UNION ALL {step}),
+em_f AS (SELECT * FROM em_p QUALIFY row_number() OVER (PARTITION BY {keys}, c ORDER BY t DESC) = 1),
+em_u AS (SELECT {keys}, c, w, m1 * s1 + a1 AS vol, m2 * s2 + a2 AS trend FROM em_f JOIN em_scale USING ({keys})),
+em_n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {keys} ORDER BY vol DESC, c) = 1
     AND vol > 1.3 * quantile_cont(vol, 0.5) OVER (PARTITION BY {keys}) THEN 'high_vol'
   WHEN trend > 1e-5 THEN 'trend_up' WHEN trend < -1e-5 THEN 'trend_down' ELSE 'mean_revert' END AS name FROM em_u)"""
-    )
-    return ",\n".join(ctes)
 
 
 def posterior_sql(out: str, rows: str, params: str, keys: str) -> str:
-    score = "ln(w) - " + " - ".join(f"(ln(v{d}) + pow(z{d} - m{d}, 2) / v{d}) / 2" for d in range(3))
     over = f"OVER (PARTITION BY {keys}, pos)"
-    return f"""{out}_s AS (SELECT {keys}, pos, z0, z1, z2, c, {score} AS s FROM {rows} JOIN {params} USING ({keys})),
+    return f"""{out}_s AS (SELECT {keys}, pos, z0, z1, z2, c, {SCORE} AS s FROM {rows} JOIN {params} USING ({keys})),
 {out}_e AS (SELECT *, exp(s - max(s) {over}) AS e FROM {out}_s),
 {out} AS (SELECT *, e / sum(e) {over} AS p FROM {out}_e)"""
 
@@ -391,9 +400,9 @@ def inputs_query(spark: SparkSession, sf: str) -> DataFrame:
 INPUTS_ORACLE = f"""WITH {INPUTS_SQL} SELECT instrument, ts, pos, {r("ret")}, {r("vol")}, {r("trend")} FROM x"""
 
 
-def components_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
-    """Named components of each instrument's mixture after a fixed number of passes."""
-    fitted = fit_regimes(series_inputs(placed_bars(spark, sf)), ["instrument"], iterations=passes)
+def components_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Named components of each instrument's mixture."""
+    fitted = fit_regimes(series_inputs(placed_bars(spark, sf)), ["instrument"])
     return rounded(
         fitted.select("instrument", F.inline("components")).select(
             "instrument", "component", "name", "vol", "trend"
@@ -402,59 +411,90 @@ def components_query(spark: SparkSession, sf: str, passes: int = PASSES) -> Data
     )
 
 
-COMPONENTS_ORACLE = f"""WITH {INPUTS_SQL}, {em_sql("x", "instrument")}
+COMPONENTS_ORACLE = f"""WITH RECURSIVE {INPUTS_SQL}, {em_sql("x", "instrument")}
 SELECT instrument, CAST(c AS INTEGER) AS component, name, {r("vol", digits=6)}, {r("trend", digits=6)} FROM em_n"""
 
 
-def labels_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
+def labels_query(spark: SparkSession, sf: str) -> DataFrame:
     inputs = materialized(series_inputs(placed_bars(spark, sf)))
-    fitted = fit_regimes(inputs, ["instrument"], iterations=passes)
+    fitted = fit_regimes(inputs, ["instrument"])
     labelled = apply_regimes(inputs, fitted, ["instrument"])
     best = F.array_max(F.map_values("probabilities"))
     return rounded(labelled.select("instrument", "ts", "component", "regime", best.alias("probability")), 5)
 
 
-LABELS_ORACLE = f"""WITH {INPUTS_SQL}, {em_sql("x", "instrument")}, {posterior_sql("ap", "em_z", f"em_p{PASSES}", "instrument")},
+LABELS_ORACLE = f"""WITH RECURSIVE {INPUTS_SQL}, {em_sql("x", "instrument")}, {posterior_sql("ap", "em_z", "em_f", "instrument")},
 b AS (SELECT instrument, pos, arg_max(c, p) AS c, max(p) AS p FROM ap GROUP BY 1, 2)
 SELECT b.instrument, x.ts, CAST(b.c AS INTEGER) AS component, n.name AS regime, {r("b.p", "probability", 5)}
 FROM b JOIN x ON b.instrument = x.instrument AND b.pos = x.pos JOIN em_n n ON b.instrument = n.instrument AND b.c = n.c"""
 
 
-def causal_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
+def causal_query(spark: SparkSession, sf: str) -> DataFrame:
     """Mixtures fitted on every train slice, labelling every test slice."""
     bars = placed_bars(spark, sf)
     keys = ["instrument", "fold_id"]
     slices = {role: assign_folds(bars, PLAN, 20, roles=[role]).drop("role") for role in ("train", "test")}
-    labelled = causal_regimes(slices["train"], slices["test"], keys, iterations=passes)
+    labelled = causal_regimes(slices["train"], slices["test"], keys)
     best = F.array_max(F.map_values("probabilities"))
     return rounded(labelled.select(*keys, "ts", "component", "regime", best.alias("probability"), "causal"), 5)
 
 
-CAUSAL_ORACLE = f"""WITH {placed_sql()}, {folds_sql("bars", "tr", PLAN, 20, "train")}, {folds_sql("bars", "te", PLAN, 20, "test")},
+CAUSAL_ORACLE = f"""WITH RECURSIVE {placed_sql()}, {folds_sql("bars", "tr", PLAN, 20, "train")}, {folds_sql("bars", "te", PLAN, 20, "test")},
 {features_sql("tr", "ftr", "instrument, fold_id")}, {features_sql("te", "fte", "instrument, fold_id")},
 x AS (SELECT instrument, fold_id, pos, log_return_1 AS ret, realized_vol_20 / sqrt(20) AS vol, momentum_20 / 20 AS trend
   FROM ftr WHERE realized_vol_20 IS NOT NULL),
 {em_sql("x", "instrument, fold_id")},
 y AS (SELECT f.instrument, f.fold_id, f.ts, f.pos, (log_return_1 - a0) / s0 AS z0, (realized_vol_20 / sqrt(20) - a1) / s1 AS z1,
   (momentum_20 / 20 - a2) / s2 AS z2 FROM fte f JOIN em_scale USING (instrument, fold_id) WHERE realized_vol_20 IS NOT NULL),
-{posterior_sql("ap", "y", f"em_p{PASSES}", "instrument, fold_id")},
+{posterior_sql("ap", "y", "em_f", "instrument, fold_id")},
 b AS (SELECT instrument, fold_id, pos, arg_max(c, p) AS c, max(p) AS p FROM ap GROUP BY 1, 2, 3)
 SELECT b.instrument, b.fold_id, y.ts, CAST(b.c AS INTEGER) AS component, n.name AS regime, {r("b.p", "probability", 5)}, true AS causal
 FROM b JOIN y USING (instrument, fold_id, pos) JOIN em_n n ON b.instrument = n.instrument AND b.fold_id = n.fold_id AND b.c = n.c"""
 
 
-def current_query(spark: SparkSession, sf: str, passes: int = PASSES) -> DataFrame:
+def current_query(spark: SparkSession, sf: str) -> DataFrame:
     inputs = materialized(series_inputs(placed_bars(spark, sf)))
-    labelled = apply_regimes(inputs, fit_regimes(inputs, ["instrument"], iterations=passes), ["instrument"])
+    labelled = apply_regimes(inputs, fit_regimes(inputs, ["instrument"]), ["instrument"])
     return current_regime(labelled).select("instrument", "ts", "regime")
 
 
-CURRENT_ORACLE = f"""WITH {INPUTS_SQL}, {em_sql("x", "instrument")}, {posterior_sql("ap", "em_z", f"em_p{PASSES}", "instrument")},
+CURRENT_ORACLE = f"""WITH RECURSIVE {INPUTS_SQL}, {em_sql("x", "instrument")}, {posterior_sql("ap", "em_z", "em_f", "instrument")},
 b AS (SELECT instrument, pos, arg_max(c, p) AS c FROM ap GROUP BY 1, 2),
 l AS (SELECT instrument, max(pos) AS pos FROM x GROUP BY 1)
 SELECT b.instrument, x.ts, n.name AS regime FROM b JOIN l USING (instrument, pos)
 JOIN x USING (instrument, pos) JOIN em_n n ON b.instrument = n.instrument AND b.c = n.c"""
 
+
+def _posterior_rows(labelled: DataFrame, *kept: str) -> DataFrame:
+    """One row for each posterior of a label."""
+    rows = labelled.select("instrument", "ts", "regime", *kept, F.explode("probabilities").alias("column", "probability"))
+    return rounded(rows, 5)
+
+
+def detected_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Exploratory regimes of whole series with every posterior."""
+    return _posterior_rows(detect_regimes(placed_bars(spark, sf)), "causal")
+
+
+_POSTERIORS = f"""{INPUTS_SQL}, {em_sql("x", "instrument")}, {posterior_sql("ap", "em_z", "em_f", "instrument")},
+named AS (SELECT instrument, c, name, row_number() OVER (PARTITION BY instrument, name ORDER BY c) AS i FROM em_n),
+b AS (SELECT instrument, pos, arg_max(c, p) AS c FROM ap GROUP BY 1, 2),
+rows_ AS (SELECT x.instrument, x.ts, x.pos, t.name AS regime, n.name || CASE WHEN n.i > 1 THEN '_' || n.i ELSE '' END AS "column", ap.p
+  FROM ap JOIN x USING (instrument, pos) JOIN named n ON n.instrument = x.instrument AND n.c = ap.c
+  JOIN b ON b.instrument = x.instrument AND b.pos = x.pos JOIN named t ON t.instrument = x.instrument AND t.c = b.c)"""
+DETECTED_ORACLE = f"""WITH RECURSIVE {_POSTERIORS}
+SELECT instrument, ts, regime, false AS causal, "column", {r("p", "probability", 5)} FROM rows_"""
+
+
+def current_posterior_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The last bar's regime of each instrument with every posterior."""
+    return _posterior_rows(current_regime(detect_regimes(placed_bars(spark, sf))))
+
+
+CURRENT_POSTERIOR_ORACLE = f"""WITH RECURSIVE {_POSTERIORS}
+SELECT instrument, ts, regime, "column", {r("p", "probability", 5)} FROM rows_
+QUALIFY pos = max(pos) OVER (PARTITION BY instrument)"""
+
 # --- model ladder --------------------------------------------------------------
 
 TARGET = "future_return_5"
@@ -517,10 +557,13 @@ QUERIES = {
     "regime_labels": (labels_query, LABELS_ORACLE),
     "causal_regimes": (causal_query, CAUSAL_ORACLE),
     "current_regime": (current_query, CURRENT_ORACLE),
-    "regime_components_full": (partial(components_query, passes=ALL_PASSES), None),
-    "regime_labels_full": (partial(labels_query, passes=ALL_PASSES), None),
-    "causal_regimes_full": (partial(causal_query, passes=ALL_PASSES), None),
-    "current_regime_full": (partial(current_query, passes=ALL_PASSES), None),
+    "detected_regimes": (detected_query, DETECTED_ORACLE),
+    "current_regime_posterior": (current_posterior_query, CURRENT_POSTERIOR_ORACLE),
+    # Earlier names of the same queries.
+    "regime_components_full": (components_query, COMPONENTS_ORACLE),
+    "regime_labels_full": (labels_query, LABELS_ORACLE),
+    "causal_regimes_full": (causal_query, CAUSAL_ORACLE),
+    "current_regime_full": (current_query, CURRENT_ORACLE),
     "linear_model": (linear_query, LINEAR_ORACLE),
     "model_ladder": (trees_query, None),
 }

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.features import add_features, feature_matrix
@@ -62,7 +62,8 @@ def _start(k: int) -> str:
 
 
 def _with_posterior(df: DataFrame, k: int) -> DataFrame:
-    """Add `_p`, the posterior of each component, from `_c` and the scaled inputs."""
+    """Add `_p`, the posterior of each component, and `_l`, the log-likelihood but for a constant,
+    from `_c` and the scaled inputs."""
     scores = []
     for i in range(k):
         terms = [
@@ -73,14 +74,23 @@ def _with_posterior(df: DataFrame, k: int) -> DataFrame:
     scored = df.selectExpr("*", f"array({', '.join(scores)}) AS _s")
     raised = scored.selectExpr("*", "transform(_s, x -> exp(x - array_max(_s))) AS _u")
     total = " + ".join(f"_u[{i}]" for i in range(k))
-    return raised.selectExpr("*", f"transform(_u, x -> x / ({total})) AS _p").drop("_s", "_u")
+    found = raised.selectExpr("*", f"transform(_u, x -> x / ({total})) AS _p", f"array_max(_s) + ln({total}) AS _l")
+    return found.drop("_s", "_u")
 
 
-def fit_regimes(inputs: DataFrame, keys: Sequence[str], k: int = 4, iterations: int = 30) -> DataFrame:
+#: Passes at most, and the change of the mean log-likelihood below which a group is settled.
+PASSES, TOLERANCE = 100, 1e-3
+
+
+def fit_regimes(
+    inputs: DataFrame, keys: Sequence[str], k: int = 4, iterations: int = PASSES, tolerance: float = TOLERANCE
+) -> DataFrame:
     """Mixture per group: its scale and its named components, one row each.
 
-    Every pass ends in a written parameter table, so plans stay one pass long and
-    nothing is replayed when an executor is lost.
+    A pass is one grouped aggregate over the bars of all groups that aren't settled; settled
+    ones leave the passes. Every pass ends in a written parameter table, so plans stay one pass
+    long and nothing is replayed when an executor is lost; how many groups are left is observed
+    on that write.
     """
     scale = materialized(
         inputs.groupBy(*keys).agg(
@@ -93,10 +103,12 @@ def fit_regimes(inputs: DataFrame, keys: Sequence[str], k: int = 4, iterations:
             *keys, *[f"coalesce(try_divide({c} - _m{d}, _s{d}), 0D) AS _z{d}" for d, c in enumerate(INPUTS)]
         )
     )
-    params = scale.selectExpr(*keys, f"{_start(k)} AS _c")
+    params = scale.selectExpr(*keys, f"{_start(k)} AS _c", "CAST(NULL AS double) AS _ll")
+    settled: list[DataFrame] = []
     for _ in range(iterations):
-        weighed = _with_posterior(scaled.join(params, list(keys)), k)
-        sums = [F.count(F.lit(1)).cast("double").alias("_n")]
+        before = params.withColumnRenamed("_ll", "_before")
+        weighed = _with_posterior(scaled.join(before, list(keys)), k)
+        sums = [F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_l").alias("_ll"), F.first("_before").alias("_before")]
         for i in range(k):
             share = F.col("_p")[i]
             sums.append(F.sum(share).alias(f"_r{i}"))
@@ -115,8 +127,18 @@ def fit_regimes(inputs: DataFrame, keys: Sequence[str], k: int = 4, iterations:
                 f"named_struct('w', (_r{i} + 1e-10) / _n, 'm', array({', '.join(means)}),"
                 f" 'v', array({', '.join(spreads)}))"
             )
-        params = materialized(moments.selectExpr(*keys, f"array({', '.join(updated)}) AS _c"))
-    return _named(params.join(scale, list(keys)), keys, k)
+        moved = moments.selectExpr(
+            *keys, f"array({', '.join(updated)}) AS _c", "_ll", f"coalesce(abs(_ll - _before) < {tolerance!r}D, false) AS _done"
+        )
+        left = Observation()
+        found = materialized(moved.observe(left, F.count_if(~F.col("_done")).alias("open")))
+        settled.append(found.where("_done").drop("_done", "_ll"))
+        params = found.where("NOT _done").drop("_done")
+        if not left.get["open"]:
+            break
+    for part in settled:
+        params = params.unionByName(part, allowMissingColumns=True)
+    return _named(params.drop("_ll").join(scale, list(keys)), keys, k)
 
 
 def _named(params: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -171,7 +193,7 @@ def apply_regimes(inputs: DataFrame, fitted: DataFrame, keys: Sequence[str], k:
 
 
 def detect_regimes(
-    bars: DataFrame, keys: Sequence[str] = KEY, k: int = 4, iterations: int = 30
+    bars: DataFrame, keys: Sequence[str] = KEY, k: int = 4, iterations: int = PASSES
 ) -> DataFrame:
     """Fit and label the same whole series. Exploratory: the fit sees later bars."""
     inputs = materialized(series_inputs(bars, keys))
@@ -180,7 +202,7 @@ def detect_regimes(
 
 
 def causal_regimes(
-    train: DataFrame, test: DataFrame, keys: Sequence[str], k: int = 4, iterations: int = 30
+    train: DataFrame, test: DataFrame, keys: Sequence[str], k: int = 4, iterations: int = PASSES
 ) -> DataFrame:
     """Fit on train slices, label the bars of the test slices."""
     fitted = fit_regimes(materialized(slice_inputs(train, keys)), keys, k, iterations)
