@@ -118,6 +118,24 @@ def feature_oracle(names: list[str], ewma: bool = False) -> str:
 SELECT instrument, ts, {", ".join(shown)} FROM f"""
 
 
+SCORES = ["zscore_20", "zscore_50", "volume_zscore_20", "range_zscore_20", "activity_intensity_10"]
+
+
+def spiked_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores beside volume spikes of 1e12 and a price that jumps ten thousandfold."""
+    jump = F.when(F.col("pos") % 300 >= 150, 1e4).otherwise(1.0)
+    bars = placed_bars(spark, sf).withColumn("volume", F.when(F.col("pos") % 97 == 0, 1e12).otherwise(F.col("volume")))
+    bars = bars.withColumns({c: F.col(c) * jump for c in ("open", "high", "low", "close")})
+    return rounded(feature_matrix(bars, (), dropna=False, keep=SCORES).select("instrument", "ts", *SCORES), 6)
+
+
+_JUMP = "* CASE WHEN pos % 300 >= 150 THEN 1e4 ELSE 1.0 END"
+SPIKED_ORACLE = f"""WITH {placed_sql()},
+j AS (SELECT instrument, ts, pos, {", ".join(f"{c} {_JUMP} AS {c}" for c in ("open", "high", "low", "close"))},
+  CASE WHEN pos % 97 = 0 THEN 1e12 ELSE volume END AS volume FROM bars),
+{features_sql("j", "f", "instrument")}
+SELECT instrument, ts, {", ".join(r(c, digits=6) for c in SCORES)} FROM f"""
+
 TARGETS = [feat.target_column(h, k) for h in HORIZONS for k in ("return", "direction")]
 
 
@@ -317,6 +335,7 @@ QUERIES = {
     "source_timeframe": (spacing, SPACING),
     "price_features": (feature_query(feat.PRICE), feature_oracle(feat.PRICE)),
     "volatility_features": (feature_query(feat.VOLATILITY), feature_oracle(feat.VOLATILITY, True)),
+    "scores_beside_spikes": (spiked_query, SPIKED_ORACLE),
     "volume_features": (feature_query(feat.VOLUME), feature_oracle(feat.VOLUME)),
     "range_features": (feature_query(feat.RANGE), feature_oracle(feat.RANGE)),
     "clock_features": (feature_query(feat.CLOCK), feature_oracle(feat.CLOCK)),
