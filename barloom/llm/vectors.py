@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by product quantisation with exact bounds."""
+"""Embedding near-duplicates by product quantisation: probed lists, table distances, exact cosine."""
 
 from __future__ import annotations
 
@@ -19,6 +19,11 @@ SAMPLE, LISTS, CODES, PARTS = 20_000, 1024, 256, 8
 BLOCK = 256
 #: Room for rounding in bounds of distances.
 SLACK = 1e-6
+#: A list is probed if a partner in it would lie at most so many standard deviations of a random
+#: direction off; with few components that is the whole reach.
+DEVIATIONS = 3.0
+#: Vectors that are placed at a time.
+PLACED = 1000
 
 
 @dataclass(frozen=True)
@@ -46,10 +51,13 @@ class Quantiser:
         return at, codes, np.sqrt(error)
 
     def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of all lists that can hold a vector within reach of a row.
+        """(row, list) of the lists that may hold a vector within reach of a row.
 
-        Whatever lies in another list is beyond the plane half way between both centres.
+        Whatever lies in another list is beyond the plane half way between both centres. Across
+        that plane a partner moves by its distance times the cosine of its direction, which for
+        a random one has a deviation of 1 / sqrt(components).
         """
+        reach = reach * min(1.0, DEVIATIONS / np.sqrt(x.shape[1]))
         square = _squares(x, self.centres)
         own = square.argmin(axis=1)
         apart = np.sqrt(np.maximum(_squares(self.centres, self.centres), 0))[own]
@@ -97,7 +105,7 @@ def _means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def _unit(column) -> np.ndarray:
-    x = np.asarray(column.values, dtype=np.float64).reshape(len(column), -1)
+    x = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -106,9 +114,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 
     Vectors link when their cosine, in double precision, is at least `cosine`. Quantisers are
     fitted on about SAMPLE vectors chosen by a hash; every vector is indexed. A vector is asked
-    for in all lists that can hold a partner; table distances leave those that may be near
-    enough, with each member's own error as room, and their cosine is computed. Both bounds are
-    exact, so no link is lost.
+    for in all lists that a partner may lie in but for rare directions (see DEVIATIONS; the
+    README has measured recall); table distances leave those that may be near enough, with each
+    member's own error as room, so none of these is lost, and their cosine is computed.
 
     Null or zero vectors and those with a null or non-finite component link with nothing, as do
     vectors of unlike lengths, each length having its own index. Ids stand for one vector: rows
@@ -163,26 +171,31 @@ def _links(groups: DataFrame, n: int, cosine: float) -> DataFrame:
     quantiser = Quantiser.fit(_unit(sample), min(LISTS, max(1, int(np.sqrt(n)))))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
+    def binary(rows: np.ndarray) -> pa.Array:
+        """The bytes of each row."""
+        width = rows.shape[1] * rows.itemsize
+        buffers = [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), buffers).cast(pa.binary())
+
     def place(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _unit(batch["v"])
-            at, codes, error = quantiser.encode(x)
-            rows, lists = quantiser.probes(x, reach)
-            ids, copies = np.asarray(batch["id"]), np.asarray(batch["copies"])
-            for member, pick, of in ((True, np.arange(len(x)), at), (False, rows, lists)):
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "list": pa.array(of, pa.int32()),
-                        "member": pa.array(np.full(len(pick), member)),
-                        "id": ids[pick],
-                        "copies": copies[pick],
-                        "x": pa.array([x[k].tobytes() for k in pick], pa.binary()),
-                        "codes": pa.array([codes[k].tobytes() if member else b"" for k in pick], pa.binary()),
-                        "error": error[pick],
-                    }
-                )
+        for whole in batches:
+            for batch in (whole.slice(i, PLACED) for i in range(0, len(whole), PLACED)):
+                x = _unit(batch["v"])
+                at, codes, error = quantiser.encode(x)
+                rows, lists = quantiser.probes(x, reach)
+                ids, copies = np.asarray(batch["id"]), np.asarray(batch["copies"])
+                for member, pick, of in ((True, np.arange(len(x)), at), (False, rows, lists)):
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "list": pa.array(of, pa.int32()),
+                            "member": pa.array(np.full(len(pick), member)),
+                            "id": ids[pick],
+                            "copies": copies[pick],
+                            "x": binary(x[pick]),
+                            "codes": binary(codes[pick] if member else codes[pick][:, :0]),
+                            "error": error[pick],
+                        }
+                    )
 
     schema = "list int, member boolean, id long, copies long, x binary, codes binary, error double"
     placed = materialized(groups.select("id", "v", "copies").mapInArrow(place, schema))
