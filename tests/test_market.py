@@ -20,7 +20,7 @@ from barloom.plans.research import load_bars, research_summary, run_research, ru
 from barloom.sources import tables
 from barloom.sources.delimited import LayoutError, choose_layout, read_lines
 from barloom.sources.ranges import coverage, research_range
-from barloom.sources.schema import SchemaError, looks_like_header, map_headers, tick_layout
+from barloom.sources.schema import SchemaError, header_test, map_headers, tick_layout
 
 from ranges import cut_into
 
@@ -330,8 +330,9 @@ def test_tick_file_without_timeframe_is_refused(spark):
     assert found.issues.first().code == "insufficient_rows_after_aggregation"
 
 
-def test_headers():
-    assert looks_like_header(["Date", "Time", "x"]) and not looks_like_header(["1.5", "2"])
+def test_headers(spark):
+    rows = spark.createDataFrame([(["date", "time", "x"],), (["1 5", "2"],), (["open", "x"],), (["open", "vol"],)], "f array<string>")
+    assert [r[0] for r in rows.select(header_test(F.col("f"))).collect()] == [True, False, False, True]
     m = map_headers(["Gmt time", "Open", "High", "Low", "Last", "Vol"])
     assert m.columns["close"] == "Last" and "last" not in m.columns and not m.missing
     assert map_headers(["Open", "High"]).missing == ["low", "close"]
