@@ -9,6 +9,7 @@ from barloom.catalogue.common import TICKS, bars_sql, event_bars, r, rounded, ta
 from barloom.plans.ingest import ingest_directory
 from barloom.session import new_path
 from barloom.sources.parsing import choose_readings
+from barloom.sources.tables import differing_parts, fingerprint, part_fingerprints, united, whole_fingerprint
 from barloom.sources.timestamps import recognized
 
 # --- timestamps ------------------------------------------------------------------
@@ -149,7 +150,38 @@ UNION ALL SELECT instrument, 'rows_removed_accounting', 'warning', removed_rows
 UNION ALL SELECT instrument, 'insufficient_rows_after_cleaning', 'error', usable_rows FROM c WHERE parsed_rows > 0 AND usable_rows < 200
 UNION ALL SELECT instrument, 'insufficient_rows', 'error', parsed_rows FROM c WHERE parsed_rows > 0 AND usable_rows > 0 AND parsed_rows < 200"""
 
+# --- fingerprints of parts ------------------------------------------------------------
+
+
+def parts_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Days whose bars changed: one price of the first hour, and the last hour lost.
+
+    `same` are the days that differ after a shuffle, after reading in two portions, and whether
+    the parts make up the fingerprint of the whole: none.
+    """
+    bars = event_bars(spark, sf, "1h")
+    ends = bars.groupBy("instrument").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    changed = bars.join(ends, "instrument").where("ts < last")
+    changed = changed.withColumn("close", F.when(F.col("ts") == F.col("first"), F.col("close") + 0.01).otherwise(F.col("close")))
+    known = part_fingerprints(bars, part="yyyy-MM-dd")
+    early = F.dayofmonth("ts") < 15
+    portions = united(*[part_fingerprints(bars.where(c), part="yyyy-MM-dd") for c in (early, ~early)])
+    shuffled = part_fingerprints(bars.repartition(7, "close"), part="yyyy-MM-dd")
+    whole = whole_fingerprint(known).exceptAll(fingerprint(bars))
+    found = differing_parts(known, part_fingerprints(changed.select(bars.columns), part="yyyy-MM-dd")).select(F.lit("changed").alias("kind"), "*")
+    for frame in (differing_parts(known, shuffled), differing_parts(known, portions)):
+        found = found.unionByName(frame.select(F.lit("same").alias("kind"), "*"))
+    return found.unionByName(whole.select(F.lit("same").alias("kind"), F.col("n_rows").alias("found_rows")), allowMissingColumns=True)
+
+
+PARTS_ORACLE = f"""WITH {TICKS}, {bars_sql("1h")},
+d AS (SELECT instrument, strftime(ts, '%Y-%m-%d') AS part, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM bars GROUP BY ALL),
+e AS (SELECT *, lo = min(lo) OVER (PARTITION BY instrument) AS f, hi = max(hi) OVER (PARTITION BY instrument) AS l FROM d)
+SELECT 'changed' AS kind, instrument, part, n AS recorded_rows, CASE WHEN l THEN nullif(n - 1, 0) ELSE n END AS found_rows
+FROM e WHERE f OR l"""
+
 QUERIES = {
+    "fingerprint_parts": (parts_query, PARTS_ORACLE),
     "mixed_timestamps": (times_query, TIMES_ORACLE),
     "ingest_directory": (directory_query, DIRECTORY_ORACLE),
     "ingest_refused_files": (refused_query, REFUSED_ORACLE),

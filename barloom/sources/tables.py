@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import PRICES
@@ -66,17 +66,51 @@ def write_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     )
 
 
+def _sums(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Rows and the order-free sum of their hashes; a null counts in its own column."""
+    hashed = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())]).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(hashed), F.lit(0).cast("decimal(38,0)")).alias("total")]
+
+
+def _content_hash() -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", F.col("total").cast("string"), "n_rows"), 256), 1, 16).alias("content_hash")
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Row count and an order-free hash of the content: 16 hex digits."""
-    columns = sorted(columns or df.columns)
-    hashed = F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")
-    total = F.coalesce(F.sum(hashed), F.lit(0).cast("decimal(38,0)"))
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.substring(F.sha2(F.concat_ws("|", total.cast("string"), F.count(F.lit(1))), 256), 1, 16).alias(
-            "content_hash"
-        ),
-    )
+    return df.agg(*_sums(df, sorted(columns or df.columns))).select("n_rows", _content_hash())
+
+
+def part_fingerprints(bars: DataFrame, columns: Sequence[str] | None = None, part: str = "yyyy-MM") -> DataFrame:
+    """Fingerprints of the parts of a table: instrument, part (of ts), n_rows, total, content_hash.
+
+    Sums add up, so what is appended is read alone and its parts are united with those known.
+    """
+    keyed = bars.select("*", F.date_format("ts", part).alias("part"))
+    sums = keyed.groupBy("instrument", "part").agg(*_sums(bars, sorted(columns or bars.columns)))
+    return sums.select("*", _content_hash())
+
+
+def united(*parts: DataFrame) -> DataFrame:
+    """Fingerprints of parts that several tables hold, as if of one table."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    sums = rows.groupBy("instrument", "part").agg(F.sum("n_rows").alias("n_rows"), F.sum("total").cast("decimal(38,0)").alias("total"))
+    return sums.select("*", _content_hash())
+
+
+def whole_fingerprint(parts: DataFrame) -> DataFrame:
+    """The fingerprint of the table that has these parts."""
+    sums = parts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("total"), F.lit(0)).cast("decimal(38,0)").alias("total"))
+    return sums.select("n_rows", _content_hash())
+
+
+def differing_parts(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """Parts whose content isn't the recorded one: instrument, part, recorded_rows, found_rows."""
+    a = recorded.select("instrument", "part", F.col("n_rows").alias("recorded_rows"), F.col("content_hash").alias("_a"))
+    b = found.select("instrument", "part", F.col("n_rows").alias("found_rows"), F.col("content_hash").alias("_b"))
+    return a.join(b, ["instrument", "part"], "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")
 
 
 def _now() -> datetime:
@@ -109,9 +143,12 @@ def register_dataset(
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log; one that nothing was written to yet is empty. Other faults are the caller's."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from barloom.plans.ingest import ingest, ingest_directory
+from barloom.sources import tables
 from barloom.sources.delimited import Layout, read_files
 from barloom.sources.timestamps import PATTERNS, recognized
 
@@ -118,3 +119,19 @@ def test_a_column_of_mixed_times(spark):
     lost = spark.createDataFrame([(0, 0, rows[0])] + [(0, i, "some day,2,3,1,2") for i in range(1, 300)], "block int, line bigint, value string")
     found = ingest(lost, "A")
     assert "bad_timestamp_format" in {r.code for r in found.issues.collect()} and found.bars.count() == 0
+
+
+def test_fingerprints_see_where_a_null_is(spark):
+    schema = "instrument string, ts timestamp_ntz, bid double, ask double"
+    at = dt.datetime(2024, 1, 31, 5)
+    a = spark.createDataFrame([("A", at, None, 5.0), ("B", at, 1.0, 2.0)], schema)
+    b = spark.createDataFrame([("B", at, 1.0, 2.0), ("A", at, 5.0, None)], schema)
+    assert tables.fingerprint(a).first() != tables.fingerprint(b).first()
+    assert tables.fingerprint(a).first() == tables.fingerprint(a.orderBy("bid")).first()
+    parts = [tables.part_fingerprints(x) for x in (a, b)]
+    assert [tuple(r) for r in tables.differing_parts(*parts).collect()] == [("A", "2024-01", 1, 1)]
+    assert tables.whole_fingerprint(parts[0]).first() == tables.fingerprint(a).first()
+    assert tables.whole_fingerprint(tables.part_fingerprints(a.limit(0))).first() == tables.fingerprint(a.limit(0)).first()
+    one = tables.united(tables.part_fingerprints(a.where("bid > 0")), tables.part_fingerprints(a.where("bid IS NULL")))
+    assert tables.differing_parts(parts[0], one).count() == 0
+    assert {r.found_rows for r in tables.differing_parts(parts[0], parts[1].where("instrument = 'B'")).collect()} == {None}
