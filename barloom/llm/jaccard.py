@@ -2,11 +2,12 @@
 
 Equal sets are one set from the start. Shingles are ordered by the number of sets that hold
 them, so that the first ones of a set, one of which every partner must share, are rare; a set
-whose first shingles are all its own has no partner. The index lists of first shingles are cut
-into blocks by set size, and entries whose position leaves too few shingles are skipped. A
-set's answers come from a similar set: each set is first compared with one leader of its
-blocks, in turns, and sets that hang together by then share their component; only pairs of
-sets of different components in one list are compared after that.
+whose first shingles are all its own has no partner. Each set is first compared with one leader of its
+list and size, in turns, and sets that hang together by then share their component; only sets
+of different components are compared after that. For them the index lists of first shingles
+are cut into blocks by what an entry's position leaves of its set: a set asks only the blocks
+that leave as much as it needs and skips the others. Signatures bound the difference of two
+sets from below, so that few pairs are fetched and counted.
 
 Shingles travel packed, some thousand to a row.
 """
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.linking import across, link
-from barloom.llm.shingles import WORDS, set_id, shingle_set
+from barloom.llm.linking import link
+from barloom.llm.shingles import WORDS, mix, set_id, shingle_set
 from barloom.session import materialized
 
 #: Similarity in hundredths.
 PERCENT = 75
 #: Shingles that a task holds before it sends them.
 HELD = 2_000_000
+#: Signatures of a set, 64 bits each.
+SIGNATURES = 8
 _PACK = "r int, ids binary, sizes binary, hashes binary, planes int, owners binary, counts binary"
 
 
@@ -153,6 +156,18 @@ def _shared(parts: int):
     return run
 
 
+def _signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SIGNATURES numbers for each set: bit b tells whether an odd number of its shingles fall on b.
+
+    Where two sets differ in a bit, they differ in a shingle.
+    """
+    at = mix(h)
+    bits = np.uint64(1) << (at & np.uint64(63))
+    word = (at >> np.uint64(6)) % np.uint64(SIGNATURES)
+    rows = [np.bitwise_xor.reduceat(np.where(word == i, bits, np.uint64(0)), starts) for i in range(SIGNATURES)]
+    return np.array(rows).view(np.int64)
+
+
 def _prefixes(percent: int):
     """Entries of one range of sets to the sets that may have a partner."""
 
@@ -166,6 +181,7 @@ def _prefixes(percent: int):
         alone = n - lengths
         first = n - needed(n, percent) + 1 - alone
         some = np.flatnonzero(first > 0)
+        signed = _signatures(h, starts)
         tokens = pa.array([h[starts[i] : starts[i] + lengths[i]].view(np.int64) for i in some], pa.list_(pa.int64()))
         return pa.table(
             {
@@ -174,12 +190,42 @@ def _prefixes(percent: int):
                 "alone": pa.array(alone[some]),
                 "first": pa.array(np.minimum(first, lengths)[some]),
                 "tokens": tokens,
+                **{f"s{i}": pa.array(signed[i][some]) for i in range(SIGNATURES)},
             }
         )
 
     return run
 
 
+def _candidates(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different labels in one list that may be similar.
+
+    An entry leaves `room`, the shingles of its set from it on. A partner of m shingles needs
+    m * percent / 100 of them, and no partner has more than m * 100 / percent: a set asks the
+    blocks between, whatever its own position, and skips the rest of the list.
+    """
+    step = float(-np.log(percent / 100))
+    scale = lambda x: F.log(x.cast("double")) / F.lit(step)
+    names = [f"s{i}" for i in range(SIGNATURES)]
+    signed = open_.join(sets.select(F.col("set_id").alias("node"), "alone", *names), "node")
+    signed = signed.withColumn("room", F.col("n") - F.col("at"))
+    index = signed.withColumn("level", F.floor(scale(F.col("room")))).alias("x")
+    # One step either way; the margin is for the rounding of logarithms.
+    levels = F.sequence(F.floor(scale(F.col("n")) - F.lit(1 + 1e-9)), F.floor(scale(F.col("n")) + F.lit(1 + 1e-9)))
+    asking = signed.withColumn("level", F.explode(levels)).alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    bits = [F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in names]
+    apart = sum(bits, F.col("x.alone") + F.col("y.alone"))
+    may = (
+        (F.least("x.room", "y.room") * (100 + percent) >= both * percent)
+        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+        & (apart * (100 + percent) <= both * (100 - percent))
+    )
+    same = (F.col("x.list") == F.col("y.list")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.label") < F.col("y.label"))
+    pairs = index.join(asking, same & may)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that are similar."""
     left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -227,13 +273,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
 
     kind = texts.schema["id"].dataType.simpleString()
     documents = materialized(texts.mapInArrow(describe, f"id {kind}, n_shingles long, set_id long"))
+    signed = ", ".join(f"s{i} long" for i in range(SIGNATURES))
     sets = materialized(
         texts.select("text")
         .mapInArrow(_index(parts, k), _PACK)
         .groupBy("r")
         .applyInArrow(_shared(groups), _PACK)
         .groupBy("r")
-        .applyInArrow(_prefixes(percent), "set_id long, n long, alone long, first long, tokens array<long>")
+        .applyInArrow(_prefixes(percent), f"set_id long, n long, alone long, first long, tokens array<long>, {signed}")
     )
     entries = sets.select("set_id", "n", "alone", F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "h"))
     # Blocks of a list hold sizes of one step of the similarity.
@@ -242,15 +289,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         F.col("h").alias("list"), F.col("set_id").alias("node"), "n", (F.col("alone") + F.col("i")).alias("at"), block
     )
 
-    nx, ny = F.col("x.n"), F.col("y.n")
-    room = 1 + F.least(nx - 1 - F.col("x.at"), ny - 1 - F.col("y.at"))
-    close = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
-    allowed = close & (room * (100 + percent) >= (nx + ny) * percent)
-
     def compare(pairs: DataFrame) -> DataFrame:
         return _linked(pairs, sets, percent)
 
-    grouped = link(entries, compare, ["block"], lambda open_: compare(across(open_, allowed)))
+    grouped = link(entries, compare, ["block"], lambda open_: compare(_candidates(open_, sets, percent)))
     grouped = grouped.withColumnRenamed("node", "set_id")
     classes = documents.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("least"))
     classes = classes.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

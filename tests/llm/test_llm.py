@@ -275,3 +275,16 @@ def test_pipeline(spark, docs, tmp_path_factory):
     assert 305 not in set(out.doc_id) and not set(range(100, 106)) & set(out.doc_id)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.drop("set_id").limit(0), folder).count() == 0
+
+
+def test_jaccard_of_common_passages(spark):
+    """Texts made of a few passages that many share: hot lists of unlike sets, near and at the border."""
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randrange(60)}" for _ in range(12)) for _ in range(9)]
+    texts = [" ".join(rng.choices(passages, k=rng.choice([3, 4, 5, 8]))) for _ in range(110)]
+    texts += [None, "", "w1", texts[0], texts[0] + " x", " ".join(texts[:40])]
+    base = [f"v{i}" for i in range(25)]
+    # 18 of 24 runs shared is 75 of 100 exactly; 17 of 25 is below.
+    texts += [" ".join(base), " ".join(base[:22] + ["a", "b", "c"]), " ".join(base[:21] + ["d", "e", "f", "g"])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    same(jaccard.join(docs).select("doc_id", "n_shingles", "component_id"), jaccard.SQL_JACCARD, documents=docs.toPandas())
