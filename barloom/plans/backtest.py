@@ -24,8 +24,11 @@ from barloom.operators.features import (
     add_features,
     drop_unscorable,
     feature_matrix,
+    future_named,
+    target_column,
 )
-from barloom.operators.folds import TEST, TRAIN, FoldPlan, assign_folds
+from barloom.operators.folds import TEST, TRAIN, FoldPlan, assign_folds, fold_fits
+from barloom.operators.regimes import causal_regimes
 from barloom.operators.risk import risk_report, stopped_position, with_drawdown
 from barloom.operators.signals import (
     DEFAULT_SIGNALS,
@@ -154,6 +157,27 @@ def test_evidence(
     )
 
 
+def fold_regimes(bars: DataFrame, run: Research) -> DataFrame:
+    """Regime and posterior of the test bars of each fold, under the mixture of its train slice."""
+    rows = bars.select("instrument", *BAR_FIELDS)
+    slices = (assign_folds(rows, run.plan, run.tail, roles=[role]).drop("role") for role in (TRAIN, TEST))
+    return causal_regimes(*slices, SLICE)
+
+
+def unjudged(bars: DataFrame, run: Research) -> DataFrame:
+    """Instruments too short for one fold: their bars, and those that a fold and its targets need."""
+    sizes = bars.groupBy("instrument").agg(F.max("n_bars").alias("n_bars"))
+    needed = F.lit(run.plan.span + run.tail).cast("long").alias("needed_bars")
+    return sizes.where(~fold_fits(F.col("n_bars") - run.tail, run.plan)).select("instrument", "n_bars", needed)
+
+
+def matrix_leaks(matrix: DataFrame, run: Research) -> list[str]:
+    """Forward-looking columns that a signal reads, or that the matrix holds besides the run's targets."""
+    targets = {target_column(h, kind) for h in run.horizons for kind in ("return", "direction")}
+    offered = [c for c in matrix.columns if c not in targets]
+    return sorted({*future_named(offered), *future_named([f for s in run.signals for f in s.needs])})
+
+
 def regime_evidence(bars: DataFrame, run: Research, regimes: DataFrame) -> DataFrame:
     """Out-of-sample correlation by regime; `regimes` is keyed by slice and `pos`."""
     labelled = scored_test(bars, run).join(

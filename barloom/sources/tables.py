@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barloom.operators.bars import PRICES
 from barloom.sources.ranges import between, with_provenance
@@ -181,6 +182,13 @@ def load_dataset(spark: SparkSession, store: str, dataset_id: str) -> DataFrame:
     return with_provenance(bars.drop("timeframe"), source, record["is_synthetic"])
 
 
+def append_experiments(records: DataFrame, store: str) -> None:
+    """Append records, as many as there are, to the experiment log; columns they lack are null."""
+    fields = StructType.fromDDL(EXPERIMENT_SCHEMA).fields
+    whole = [(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    records.select(*whole).write.mode("append").parquet(f"{store}/experiments")
+
+
 def log_experiment(
     spark: SparkSession,
     store: str,
@@ -198,8 +206,7 @@ def log_experiment(
         experiment_id, instrument, timeframe, model, data_mode, seed, None, _now(),
         json.dumps(config, default=str), json.dumps(metrics, default=str), list(features),
     )
-    frame = spark.createDataFrame([record], EXPERIMENT_SCHEMA)
-    frame.write.mode("append").parquet(f"{store}/experiments")
+    append_experiments(spark.createDataFrame([record], EXPERIMENT_SCHEMA), store)
     return experiment_id
 
 
