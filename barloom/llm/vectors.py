@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +16,13 @@ from barloom.session import materialized
 COSINE = 0.95
 #: Vectors to fit the quantisers on, about; lists at most; codes of a subspace at most; subspaces.
 SAMPLE, LISTS, CODES, PARTS = 20_000, 1024, 256, 8
-#: Vectors of a packed block, about.
-BLOCK = 256
+#: Members, and vectors that ask for partners, that meet in a task, about.
+BLOCK, ASKED = 256, 2048
 #: Room for rounding in bounds of distances.
 SLACK = 1e-6
-#: A list is probed if a partner in it would lie at most so many standard deviations of a random
-#: direction off; with few components that is the whole reach.
-DEVIATIONS = 3.0
+#: A pair across two lists is found if it lies at most so many standard deviations of a random
+#: direction apart across the plane between them; with few components that is the whole reach.
+DEVIATIONS = 4.0
 #: Vectors that are placed at a time.
 PLACED = 1000
 
@@ -51,13 +52,14 @@ class Quantiser:
         return at, codes, np.sqrt(error)
 
     def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that may hold a vector within reach of a row.
+        """(row, list) of the lists in which a row asks for vectors within reach; its own is one.
 
         Whatever lies in another list is beyond the plane half way between both centres. Across
         that plane a partner moves by its distance times the cosine of its direction, which for
-        a random one has a deviation of 1 / sqrt(components).
+        a random one has a deviation of 1 / sqrt(components). One of both is no farther from the
+        plane than half of that, so it is enough that a row asks beyond planes so near.
         """
-        reach = reach * min(1.0, DEVIATIONS / np.sqrt(x.shape[1]))
+        reach = 0.5 * reach * min(1.0, DEVIATIONS / np.sqrt(x.shape[1]))
         square = _squares(x, self.centres)
         own = square.argmin(axis=1)
         apart = np.sqrt(np.maximum(_squares(self.centres, self.centres), 0))[own]
@@ -113,8 +115,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link when their cosine, in double precision, is at least `cosine`. Quantisers are
-    fitted on about SAMPLE vectors chosen by a hash; every vector is indexed. A vector is asked
-    for in all lists that a partner may lie in but for rare directions (see DEVIATIONS; the
+    fitted on about SAMPLE vectors chosen by a hash; every vector is indexed. Of two partners the
+    one nearer to the other's list asks there, but for rare directions (see DEVIATIONS; the
     README has measured recall); table distances leave those that may be near enough, with each
     member's own error as room, so none of these is lost, and their cosine is computed.
 
@@ -162,9 +164,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 def _links(groups: DataFrame, n: int, cosine: float) -> DataFrame:
     """(a, b, links): for links > 0 the links of a, else a and b hang together.
 
-    A list's members and queries are dealt by a hash of their ids over blocks of about BLOCK.
-    Each pair of blocks is one group, so a hot list spreads over many tasks; a group returns a
-    count for each query and a spanning forest of the links it found.
+    A list's members are dealt by a hash of their ids over blocks of about BLOCK, and who asks in
+    it over those of about ASKED. Each pair of blocks is one group, so a hot list spreads over many
+    tasks; a group returns counts and a spanning forest of the links it found.
     """
     share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
     sample = groups.where(share if n > SAMPLE else F.lit(True)).select("v").orderBy("v").toArrow()["v"].combine_chunks()
@@ -180,72 +182,85 @@ def _links(groups: DataFrame, n: int, cosine: float) -> DataFrame:
     def place(batches):
         for whole in batches:
             for batch in (whole.slice(i, PLACED) for i in range(0, len(whole), PLACED)):
+                raw = np.asarray(batch["v"].flatten(), dtype=np.float64).reshape(len(batch), -1)
                 x = _unit(batch["v"])
                 at, codes, error = quantiser.encode(x)
                 rows, lists = quantiser.probes(x, reach)
-                ids, copies = np.asarray(batch["id"]), np.asarray(batch["copies"])
-                for member, pick, of in ((True, np.arange(len(x)), at), (False, rows, lists)):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "list": pa.array(of, pa.int32()),
-                            "member": pa.array(np.full(len(pick), member)),
-                            "id": ids[pick],
-                            "copies": copies[pick],
-                            "x": binary(x[pick]),
-                            "codes": binary(codes[pick] if member else codes[pick][:, :0]),
-                            "error": error[pick],
-                        }
-                    )
-
-    schema = "list int, member boolean, id long, copies long, x binary, codes binary, error double"
+                # Half the bytes for what floats hold exactly.
+                with np.errstate(over="ignore"):
+                    exact = (raw.astype(np.float32).astype(np.float64) == raw).all(axis=1)
+                    short, long = binary(raw.astype(np.float32)), binary(raw)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": batch["id"],
+                        "copies": batch["copies"],
+                        "at": pa.array(at, pa.int32()),
+                        "x": pc.if_else(pa.array(exact), short, long),
+                        "codes": binary(codes),
+                        "error": error,
+                        "asks": pa.ListArray.from_arrays(
+                            pa.array(np.searchsorted(rows, np.arange(len(x) + 1)), pa.int32()), pa.array(lists, pa.int32())
+                        ),
+                    }
+                )
+
+    schema = "id long, copies long, at int, x binary, codes binary, error double, asks array<int>"
     placed = materialized(groups.select("id", "v", "copies").mapInArrow(place, schema))
-    # Blocks of members and of queries of each list; there are at most LISTS lists.
-    sizes = placed.groupBy("list").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((F.col("member"), "rows"), (~F.col("member"), "columns"))])
-    placed = placed.join(F.broadcast(materialized(sizes)), "list")
-    part = F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("member"), F.col("rows")).otherwise(F.col("columns"))).cast("int")
-    by = ["list", "member", "part", "rows", "columns"]
-
-    def pack(key, table):
-        packed = {name: [value.as_py()] for name, value in zip(by, key)}
-        for name in ("id", "copies", "error"):
-            packed[name] = [table[name].to_numpy().tobytes()]
-        for name in ("x", "codes"):
-            packed[name] = [b"".join(table[name].to_pylist())]
-        return pa.table(packed, pack_schema)
-
-    pack_schema = pa.schema(
-        [(n, pa.bool_() if n == "member" else pa.int32()) for n in by] + [(n, pa.binary()) for n in ("id", "copies", "error", "x", "codes")]
-    )
-    spelled = "list int, member boolean, part int, rows int, columns int, id binary, copies binary, error binary, x binary, codes binary"
-    blocks = materialized(placed.withColumn("part", part).groupBy(*by).applyInArrow(pack, spelled))
+    asking = placed.select("id", "copies", "at", "x", F.explode("asks").alias("list"))
+    # Blocks of members and of those who ask, of each list; there are at most LISTS lists.
+    sizes = placed.groupBy(F.col("at").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    asked = asking.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("columns"))
+    sizes = F.broadcast(materialized(sizes.join(asked, "list")))
 
-    # Each block of members meets each block of queries of its list, one such pair to a group.
-    def spread(member: bool, own: str, other: str, count: str, columns: list[str]) -> DataFrame:
-        mine = blocks.where(F.col("member") == member)
-        return mine.select("list", F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(other), *columns)
+    # Each block of members meets each block of those who ask, one such pair to a group.
+    def spread(df: DataFrame, own: str, count: str, other: str, others: str):
+        part = F.pmod(F.xxhash64("id", F.lit(5)), F.col(count)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other)
+        return df.join(sizes, "list").select("*", part).select(*[F.col(c).alias(c) for c in df.columns], own, every).groupBy("list", "r", "c")
 
-    members = spread(True, "r", "c", "columns", ["id", "copies", "error", "x", "codes"]).groupBy("list", "r", "c")
-    asked = spread(False, "c", "r", "rows", ["id", "x"]).groupBy("list", "r", "c")
+    members = spread(placed.withColumnRenamed("at", "list"), "r", "rows", "c", "columns")
+    asking = spread(asking, "c", "columns", "r", "rows")
 
     def meet(key, member, query):
         if not len(member) or not len(query):
             return found_schema.empty_table()
-        row, ask = member.to_pylist()[0], query.to_pylist()[0]
-        a, b = np.frombuffer(ask["id"], np.int64), np.frombuffer(row["id"], np.int64)
-        q, x = (np.frombuffer(r["x"], np.float64).reshape(len(i), -1) for r, i in ((ask, a), (row, b)))
-        codes = np.frombuffer(row["codes"], np.uint8).reshape(len(b), -1)
-        i, j = quantiser.near(key[0].as_py(), q, codes, np.frombuffer(row["error"]), reach)
-        keep = a[i] != b[j]
+        here = key[0].as_py()
+        a, b = query["id"].to_numpy(), member["id"].to_numpy()
+        q, x = (_unpacked(t["x"].to_pylist(), quantiser.centres.shape[1]) for t in (query, member))
+        codes = np.frombuffer(b"".join(member["codes"].to_pylist()), np.uint8).reshape(len(b), -1)
+        i, j = quantiser.near(here, q, codes, member["error"].to_numpy(), reach)
+        home = query["at"].to_numpy()
+        asks = member["asks"].combine_chunks()
+        owner = np.repeat(np.arange(len(b)), asks.value_lengths().to_numpy())
+        # Where both ask in each other's list, the pair counts in the later list.
+        both = np.isin(j.astype(np.int64) << 32 | home[i], owner << 32 | asks.flatten().to_numpy())
+        keep = (a[i] != b[j]) & ((home[i] <= here) | ~both)
         i, j = i[keep], j[keep]
         keep = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
         i, j = i[keep], j[keep]
-        links = np.bincount(i, np.frombuffer(row["copies"], np.int64)[j], len(a)).astype(np.int64)
-        some = np.flatnonzero(links)
+        links = np.bincount(i, member["copies"].to_numpy()[j], len(a)).astype(np.int64)
+        # Within a list both ends ask; across lists a pair is met once.
+        far = home[i] != here
+        back = np.bincount(j[far], query["copies"].to_numpy()[i[far]], len(b)).astype(np.int64)
+        some, others = np.flatnonzero(links), np.flatnonzero(back)
         u, v = _forest(a[i], b[j]) if len(i) else (a[:0], a[:0])
-        return pa.table({"a": np.r_[a[some], u], "b": np.r_[a[some], v], "links": np.r_[links[some], np.zeros(len(u), np.int64)]}, found_schema)
+        ends = np.r_[a[some], b[others]]
+        return pa.table(
+            {"a": np.r_[ends, u], "b": np.r_[ends, v], "links": np.r_[links[some], back[others], np.zeros(len(u), np.int64)]}, found_schema
+        )
 
     found_schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "links")])
-    return members.cogroup(asked).applyInArrow(meet, "a long, b long, links long")
+    return members.cogroup(asking).applyInArrow(meet, "a long, b long, links long")
+
+
+def _unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    """Vectors of length 1 of the bytes of floats or doubles."""
+    x = np.empty((len(rows), width))
+    for kind in (np.float32, np.float64):
+        at = [i for i, row in enumerate(rows) if len(row) == width * np.dtype(kind).itemsize]
+        if at:
+            x[at] = np.frombuffer(b"".join([rows[i] for i in at]), kind).reshape(len(at), width)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,3 +34,22 @@ def test_planted_partners_are_found(spark, monkeypatch):
     assert (got.n_links.reindex(range(len(everything))) <= links).all()
     hundredth = np.arange(0, len(everything), 100)
     assert got.n_links.loc[hundredth].sum() >= 0.9 * links[hundredth].sum()
+
+
+def test_pairs_across_lists_count_once_for_both(spark, monkeypatch):
+    """Partners on both sides of a plane, floats and doubles, and no vector sent to most lists."""
+    sent = []
+    written = vectors.materialized
+    monkeypatch.setattr(vectors, "materialized", lambda df: sent.append(written(df)) or sent[-1])
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(900, 64)).astype(np.float32).astype(float)
+    near = base + rng.normal(size=base.shape) * 0.2
+    everything = np.concatenate([base, near, np.repeat(base[:5], 2, axis=0)])
+    rows = pd.DataFrame({"vec_id": range(len(everything)), "embedding": list(everything)})
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    links = np.bincount([i for i, _ in brute(everything)], minlength=len(everything))
+    assert links.sum() > 1500 and (got.n_links.sort_index().to_numpy() <= links).all()
+    assert got.n_links.sum() >= 0.99 * links.sum()
+    # Vectors are written once, not once for each list that they ask in.
+    wide = [df.count() for df in sent if "x" in df.columns]
+    assert wide and max(wide) <= len(everything)
