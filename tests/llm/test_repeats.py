@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from barloom.llm import repeats
+from barloom.llm import lines, repeats
 
 SCHEMA = "doc_id long, text string, lang string, th long, p int, spans string"
 
@@ -81,3 +81,17 @@ def test_query_like_sql(spark, tmp_path):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tables_with_long_arrays_are_not_broadcast(spark, monkeypatch):
+    """Two long texts have few rows of spans and contexts, but large ones."""
+    hinted = []
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 20_000)
+    monkeypatch.setattr(lines.F, "broadcast", lambda df: hinted.append(df.columns) or df)
+    rng = random.Random(4)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(100)]
+    rows = [(k, "".join(s + "".join(rng.choice("xyz") for _ in range(60)) for s in shared)) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.remove_repeats(docs).collect()
+    assert all(r.n_spans >= 100 and r.n_removed >= 100 * 500 for r in got)
+    assert hinted and not [c for c in hinted if "found" in c]
