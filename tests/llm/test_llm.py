@@ -248,6 +248,27 @@ def test_lines_with_one_edit_are_found(spark):
     assert [p for p in like if p[0] not in found or found[p[0]] != found.get(p[1])] == []
 
 
+def test_unlike_lines_of_one_passage_move_as_keys(spark, monkeypatch):
+    """Unlike lines of a common passage are told apart without their texts, like ones are found."""
+    rng = random.Random(12)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(14))
+    words = lambda n: " ".join("".join(rng.choice("ijklmnop") for _ in range(7)) for _ in range(n))
+    texts = [f"{passage} {words(24)}" for _ in range(120)]
+    texts += [texts[0] + " x", texts[1].replace("i", "q", 1)]
+    asked = []
+    exact = lines.similar
+    monkeypatch.setattr(lines, "similar", lambda a, b, percent=75: asked.append(1) or exact(a, b, percent))
+    written, widths = lines.materialized, []
+    monkeypatch.setattr(lines, "materialized", lambda df: widths.append((df.columns, written(df))) or widths[-1][1])
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, line string")
+    found = {r.key: r.component for r in lines.line_classes(table).collect()}
+    assert found[120] == found[0] == 0 and found[121] == found[1] == 1
+    assert all(found.get(k, k) == k for k in range(120))
+    pairs = [df.count() for columns, df in widths if columns == ["a", "b"]]
+    assert asked and pairs and max(pairs) <= 10
+    assert not [c for c, _ in widths if "s" in c]  # whole sets of hashes beside each entry
+
+
 def test_main_text(spark):
     def page(i):
         body = "".join(f"<p>Sentence {k} of page {i} has several words. It goes on.</p>" for k in range(4))
