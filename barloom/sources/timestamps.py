@@ -15,6 +15,8 @@ from barloom.functions.columns import as_col
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 MONTH = "(" + "|".join(MONTHS[i : i + 3] for i in range(0, 36, 3)) + r")[a-z]*\.?"
 WEEKDAY = r"^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[., ]+"
+#: Stands between the parts of a text.
+MARK = "\x01"
 #: Two-digit years up to this one are of this century.
 LAST_SHORT_YEAR = 75
 
@@ -42,16 +44,19 @@ PATTERNS = _patterns()
 
 def _without_compact(x: Column) -> Column:
     """Digits without marks, `20240131 0900` or `20240131090000`, with marks."""
+    plain = x
     x = F.regexp_replace(x, r"^(\d{8}|\d{12}|\d{14}|\d{8} \d{4}(?:\d{2})?)\.0$", "$1")
     x = F.regexp_replace(x, r"^(\d{8})(\d{4}(?:\d{2})?)$", "$1 $2")
     x = F.regexp_replace(x, r"^(\d{8})[ t]+(\d{2})(\d{2})(\d{2})$", "$1 $2:$3:$4")
     x = F.regexp_replace(x, r"^(\d{8})[ t]+(\d{2})(\d{2})$", "$1 $2:$3")
-    return F.regexp_replace(x, r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
+    x = F.regexp_replace(x, r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
+    return F.when(plain.rlike(r"^\d{8}"), x).otherwise(plain)
 
 
 def date_pattern(date: Column) -> Column:
     """The token classes of a lower-case date."""
     named = F.regexp_replace(F.regexp_replace(date, MONTH, "M"), r"(\d)(st|nd|rd|th)\b", "$1")
+    named = F.when(date.rlike("[a-z]"), named).otherwise(date)
     short = F.regexp_replace(F.regexp_replace(named, r"(?<!\d)\d{4}(?!\d)", "y"), r"(?<!\d)\d{1,2}(?!\d)", "d")
     return F.regexp_replace(short, "[, ]+", " ")
 
@@ -68,19 +73,32 @@ def recognized(text: str | Column) -> Column:
     date), with month names, two-digit years, and 8 digits; clocks of 24 or 12 hours, with
     fractions and offsets, which are applied. Everything else, null and empty texts are NULL.
     """
-    x = _without_compact(F.regexp_replace(F.lower(F.trim(as_col(text))), WEEKDAY, ""))
-    return _with(x, lambda x: _with(_cut(x), _read))
+    x = F.regexp_replace(F.lower(F.trim(as_col(text))), WEEKDAY, "")
+    return _with(x, lambda x: _with(_parts(_without_compact(x)), lambda p: _with(_cut(p), _read)))
 
 
-def _cut(x: Column) -> Column:
-    date, clock = F.trim(F.regexp_replace(x, CLOCK, "")), F.regexp_extract(x, CLOCK, 0)
+def _parts(x: Column) -> Column:
+    """What stands before the clock, the clock's nine parts and what is left, by one search.
+
+    Without a clock the text alone; texts that hold the mark between parts are no timestamps.
+    """
+    marked = F.regexp_replace(x, CLOCK, MARK + MARK.join(f"${i}" for i in range(1, 10)) + MARK)
+    return F.split(F.when(~F.contains(x, F.lit(MARK)), marked), MARK)
+
+
+def _cut(parts: Column) -> Column:
     table = F.create_map(*[F.lit(v) for pair in PATTERNS.items() for v in pair])
-    return F.struct(
-        F.try_element_at(table, date_pattern(date)).alias("roles"),
-        F.regexp_extract_all(date, F.lit(r"\d+"), F.lit(0)).alias("numbers"),
-        F.regexp_extract(date, MONTH, 1).alias("month"),
-        *[F.regexp_extract(clock, CLOCK, i).alias(f"c{i}") for i in range(1, 10)],
-    )
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+
+    def fields(date: Column) -> Column:
+        return F.struct(
+            F.try_element_at(table, date_pattern(date)).alias("roles"),
+            F.regexp_extract_all(date, F.lit(r"\d+"), F.lit(0)).alias("numbers"),
+            F.when(date.rlike("[a-z]"), F.regexp_extract(date, MONTH, 1)).otherwise("").alias("month"),
+            *[part(i).alias(f"c{i}") for i in range(1, 10)],
+        )
+
+    return _with(F.trim(F.concat(F.get(parts, F.lit(0)), part(10))), fields)
 
 
 def _read(t: Column) -> Column:

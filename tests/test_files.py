@@ -135,3 +135,12 @@ def test_fingerprints_see_where_a_null_is(spark):
     one = tables.united(tables.part_fingerprints(a.where("bid > 0")), tables.part_fingerprints(a.where("bid IS NULL")))
     assert tables.differing_parts(parts[0], one).count() == 0
     assert {r.found_rows for r in tables.differing_parts(parts[0], parts[1].where("instrument = 'B'")).collect()} == {None}
+
+
+def test_the_clock_is_searched_once(spark):
+    """One search tells the date, the clock's parts and what is left; texts with marks are no times."""
+    table = spark.createDataFrame([("2024-01-01 10:00\n",), ("2024-01-01\x01 10:00",), ("2024-01-01 10:00 pm +0530",)], "t string")
+    plan = table.select(recognized("t").alias("ts"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"[t, ]+(\d{1,2})(?::(\d{2})") == 1
+    got = [str(r.ts) for r in table.select(recognized("t").alias("ts")).collect()]
+    assert got == ["2024-01-01 10:00:00", "None", "2024-01-01 16:30:00"]
