@@ -1,7 +1,9 @@
 """Operators for training data: odd input, and results against SQL or brute force."""
 
 import hashlib
+import os
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import chat, html, jaccard, langid, lines, mixing, tiling, tokens, urls, vectors
 from barloom.llm.components import components
+from barloom.session import CLEANUP, shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -248,6 +251,31 @@ def test_lines_with_one_edit_are_found(spark):
     assert [p for p in like if p[0] not in found or found[p[0]] != found.get(p[1])] == []
 
 
+def test_lines_leave_no_files_behind(spark):
+    """Only what the result still reads stays on disk: no intermediate files, nothing that a step shuffled."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        """Shuffle files but those of a few sums."""
+        found = [f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f]
+        return {f for f in found if os.path.exists(f) and os.path.getsize(f) > 2000}
+
+    folders = lambda: {f for f in os.listdir(shared_folder(spark)) if f.startswith("barloom-")}
+    rng = random.Random(14)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, f"{base[i % 80]}\n{base[i * 7 % 80]}x") for i in range(200)], "doc_id long, text string")
+    files, kept = shuffled(), folders()
+    rows = lines.dedup_lines(docs)
+    assert len(folders() - kept) <= 8  # small lists of pairs and the lines to leave out
+    for _ in range(100):
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - files
+    assert sum(r.n_kept for r in rows.collect()) == 80
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_unlike_lines_of_one_passage_move_as_keys(spark, monkeypatch):
     """Unlike lines of a common passage are told apart without their texts, like ones are found."""
     rng = random.Random(12)
