@@ -95,3 +95,13 @@ def test_tables_with_long_arrays_are_not_broadcast(spark, monkeypatch):
     got = repeats.remove_repeats(docs).collect()
     assert all(r.n_spans >= 100 and r.n_removed >= 100 * 500 for r in got)
     assert hinted and not [c for c in hinted if "found" in c]
+
+
+def test_texts_move_alike_at_any_size(spark, monkeypatch):
+    """Few spans or many: the join with the texts is the same, so what it moves grows as the input."""
+    hinted = []
+    monkeypatch.setattr(lines.F, "broadcast", lambda df: hinted.append(df.columns) or df)
+    body = "".join(random.Random(5).choice("abcdefgh ") for _ in range(900))
+    docs = spark.createDataFrame([(k, body[k:] + str(k)) for k in range(5)], "doc_id long, text string")
+    assert all(r.n_removed >= 890 for r in repeats.remove_repeats(docs).collect())
+    assert all(columns == ["k1"] for columns in hinted)
