@@ -292,7 +292,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     def compare(pairs: DataFrame) -> DataFrame:
         return _linked(pairs, sets, percent)
 
-    grouped = link(entries, compare, ["block"], lambda open_: compare(_candidates(open_, sets, percent)))
+    grouped = link(materialized(entries), compare, ["block"], lambda open_: compare(_candidates(open_, sets, percent)))
     grouped = grouped.withColumnRenamed("node", "set_id")
     classes = documents.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("least"))
     classes = classes.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
