@@ -337,3 +337,47 @@ def test_jaccard_of_common_passages(spark):
     texts += [" ".join(base), " ".join(base[:22] + ["a", "b", "c"]), " ".join(base[:21] + ["d", "e", "f", "g"])]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     same(jaccard.join(docs).select("doc_id", "n_shingles", "component_id"), jaccard.SQL_JACCARD, documents=docs.toPandas())
+
+
+def _written(monkeypatch):
+    """What line_classes writes from now on: (columns, rows, distinct rows)."""
+    write, written = lines.materialized, []
+
+    def kept(df):
+        df = write(df)
+        written.append((df.columns, df.count(), df.distinct().count()))
+        return df
+
+    monkeypatch.setattr(lines, "materialized", kept)
+    return written
+
+
+def test_lists_of_unlike_lines_are_left_early(spark, monkeypatch):
+    """Short lines of few words share bands by chance: hardly any stays in a list, like ones all do."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 9))) for _ in range(1500)]
+    texts += [t + " x" for t in texts[:40]]
+    written = _written(monkeypatch)
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, line string")
+    found = {r.key: r.component for r in lines.line_classes(table).collect()}
+    assert all(found[1500 + i] == found[i] == i for i in range(40))
+    nodes = next(n for columns, n, _ in written if columns == ["key"])
+    assert 80 <= nodes <= 160  # 1,540 lines
+
+
+def test_bands_are_dealt_out_in_steps(spark, monkeypatch):
+    """Only some bands are on their way at once, each with all its lines; equal lines count once."""
+    rng = random.Random(22)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(n))
+    texts = [words(n) for n in (4, 6, 12, 30, 60) for _ in range(30)]
+    texts = texts + texts + [t + " z" for t in texts]
+    keys = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    written = _written(monkeypatch)
+    table = spark.createDataFrame([(keys[t], t) for t in texts], "key long, line string")
+    found = {r.key: r.component for r in lines.line_classes(table).collect()}
+    assert all(found[keys[t]] == found[keys[t + " z"]] for t in texts[:150])
+    listed = [(n, distinct) for columns, n, distinct in written if sorted(columns) == ["list", "node"]]
+    assert len(listed) > 4 and all(n == distinct for n, distinct in listed)
+    # Each step but the last, that of rare shingles, holds a part of the entries.
+    assert all(0 < n <= sum(n for n, _ in listed) / 4 for n, _ in listed[:-1])
