@@ -381,3 +381,16 @@ def test_bands_are_dealt_out_in_steps(spark, monkeypatch):
     assert len(listed) > 4 and all(n == distinct for n, distinct in listed)
     # Each step but the last, that of rare shingles, holds a part of the entries.
     assert all(0 < n <= sum(n for n, _ in listed) / 4 for n, _ in listed[:-1])
+
+
+def test_lines_are_signed_by_compiled_methods(spark, monkeypatch):
+    """Also on a session that allows longer methods than the JVM compiles; its setting stays."""
+    before, write, limits = spark.conf.get(lines.METHOD_LIMIT), lines.materialized, []
+    monkeypatch.setattr(lines, "materialized", lambda df: limits.append((df.columns, spark.conf.get(lines.METHOD_LIMIT))) or write(df))
+    spark.conf.set(lines.METHOD_LIMIT, "65535")
+    try:
+        lines.line_classes(spark.createDataFrame([(1, "a line of some words"), (2, "a line of some words!")], "key long, line string"))
+        assert spark.conf.get(lines.METHOD_LIMIT) == "65535"
+    finally:
+        spark.conf.set(lines.METHOD_LIMIT, before)
+    assert [limit for columns, limit in limits if "b0" in columns] == ["8000"]
